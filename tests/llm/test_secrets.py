@@ -1,0 +1,62 @@
+import math
+import random
+import re
+
+from rimefield.llm import secrets
+
+ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def brute(text):
+    text = text or ""
+    out = [(m.start(1), 0, "assign", m.end(1)) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(k, a, b) for a, _, k, b in sorted(out)]
+
+
+def entropy(s, w):
+    best = 0.0
+    for i in range(len(s) - w + 1):
+        part = s[i : i + w]
+        best = max(best, -sum(part.count(c) / w * math.log2(part.count(c) / w) for c in set(part)))
+    return best
+
+
+def texts():
+    rng = random.Random(3)
+    parts = ["password = token: abcdefgh", "token=secret=abcdefgh", "API_KEY : 'zz9'", "apikey=\"é", "AKIA" + "Z9" * 8, "AKIAAKIA1", "AKIA" + "A" * 15, "0123456789abcdef" * 2, "abcdef" * 4, "abcdef" * 3 + "abcde", "é😀", "\n", " ", "Passwd:  abc.def-ghi", "TOKEN==abcdef", "g", "deadbeef"]
+    out = ["".join(rng.choice(parts) + rng.choice(["", " ", "x"]) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    return [*out, None, "", "plain text " * 20000 + "token=a1b2c3d4e5"]
+
+
+def test_base_spans_equal_brute_force(spark):
+    data = list(enumerate(texts()))
+    docs = spark.createDataFrame(data + data[:3], "doc_id long, text string").withColumnRenamed("text", "text")
+    for r in secrets.scan(docs, ["doc_id"]).collect():
+        got = sorted((s.start, ["assign", "access", "hex"].index(s.kind), s.kind, s.end) for s in [*r._assign, *r._access, *r._hex])
+        assert [(k, a, b) for a, _, k, b in got] == brute(dict(data)[r.doc_id]), data[r.doc_id]
+
+
+def test_window_entropy(spark):
+    rng = random.Random(5)
+    data = ["".join(rng.choice("abcdefgh0123456789+/"[: rng.randrange(1, 20)]) for _ in range(rng.randrange(20, 60))) for _ in range(60)]
+    rows = spark.createDataFrame([(s,) for s in data], "s string").select("s", secrets.window_entropy(secrets.F.col("s"))).collect()
+    for s, got in rows:
+        assert abs(got - entropy(s, 20)) < 1e-9
+
+
+def test_entropy_spans_and_allow_list(spark):
+    key = "q7Rz0Lk2Vx9TbN4mWc8YpJ3s"
+    data = [(0, f"see {key} here"), (1, "id 123e4567-e89b-12d3-a456-426614174000 ok"), (2, "averyverylongwordwithoutdigits-and-more"), (3, "aaaaaaaaaaaaaaaaaaaaaaaa1"), (4, None)]
+    rows = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(data, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert [(s.start, s.end) for s in rows[0]._entropy] == [(4, 4 + len(key))]
+    assert all(not rows[i]._entropy for i in (1, 2, 3, 4))
+
+
+def test_redact(spark):
+    data = [(0, 'a token = "0123456789abcdef01234567" b', 1), (1, None, None), (2, "clean", 5)]
+    out = {r.doc_id: r for r in secrets.redact(spark.createDataFrame(data, "doc_id long, text string, n_chars long")).collect()}
+    assert out[0].text == 'a token = "[SECRET]" b' and out[0].n_chars == len(out[0].text)
+    assert out[1].text is None and out[2].text == "clean" and out[2].n_chars == 5
+    assert secrets.scan(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"]).count() == 0
