@@ -196,20 +196,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     """The documents without hit spans; those with a hit share over the coverage limit go. Other columns stay, n_chars follows."""
     names = docs.columns
     rest = [c for c in names if c != "text"]
-    d = mark(docs, benchmark, rest, window)
-    part = F.transform(F.sequence(F.lit(0), F.size("_spans") / 2 - 1), lambda i: F.element_at("_spans", (2 * i + 2).cast("int")) - F.element_at("_spans", (2 * i + 1).cast("int")))
-    hit = F.when(F.size("_spans") > 0, F.aggregate(part, F.lit(0), lambda a, x: a + x)).otherwise(0)
-    d = d.withColumn("_hit", hit).where(F.col("_hit") <= F.greatest(F.col("_n"), F.lit(1)) * coverage)
-
-    @F.udf("string")
-    def clean(text, spans):
-        return cut(bytes(text), spans).decode("utf-8", "replace")
-
-    touched = F.size("_spans") > 0
-    d = d.withColumn("text", F.when(touched, clean("_text", "_spans")).otherwise(F.col("_text").cast("string")))
-    if "n_chars" in names:
-        d = d.withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return d.select(*names)
+
+    def cleaned(batches):
+        for b in batches:
+            spans, n, old = b.column("_spans").to_pylist(), b.column("_n").to_pylist(), b.column("_text").to_pylist()
+            stay = [i for i, s in enumerate(spans) if sum(s[1::2]) - sum(s[0::2]) <= coverage * max(1, n[i])]
+            b = b.take(pa.array(stay, pa.int64()))
+            texts = [cut(old[i], spans[i]).decode("utf-8", "replace") if spans[i] else old[i] and old[i].decode("utf-8", "replace") if old[i] != b"" else "" for i in stay]
+            cols = {c: b.column(c) for c in rest} | {"text": pa.array(texts, pa.string())}
+            if "n_chars" in rest:
+                kept = cols["n_chars"].to_pylist()
+                cols["n_chars"] = pa.array([len(t) if spans[i] else k for i, t, k in zip(stay, texts, kept, strict=True)], cols["n_chars"].type)
+            yield pa.record_batch([cols[c] for c in names], names)
+
+    return mark(docs, benchmark, rest, window).mapInArrow(cleaned, docs.select(*(F.col(c).cast("string") if c == "text" else F.col(c) for c in names)).schema)
 
 
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"

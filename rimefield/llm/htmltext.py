@@ -26,7 +26,7 @@ from .common import table
 
 LEAST_PAGES, LEAST_SHARE = 3, 0.1
 RAW = "script|style|noscript|template|svg|iframe|textarea|title|math|object|canvas|video|audio"
-TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|([^<]++)|<""", re.S | re.I)
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|([^<]++)|<""", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

@@ -20,7 +20,7 @@ def make(n=1500):
         toxic = i % 6 == 0
         for _ in range(rng.randrange(1, 4) if toxic else 0):
             ws.insert(rng.randrange(len(ws)), rng.choice(["snark", "Snаrk", "5nark", "grumble" + rng.choice(["x", "ed", "ing"])]))
-        if not toxic and i % 5 == 1:
+        if not toxic and i % 50 == 1:
             ws[2:2] = ["hunting", "snark"]
         docs.append((i, " ".join(ws)))
         labels.append((i, int(toxic)))
@@ -31,7 +31,7 @@ def test_learned_scores(spark):
     docs, labels = make()
     d, l = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     lexicon = tx.learn(d.where("doc_id < 1000"), l)
-    assert any("snark" in e for e in lexicon.entries) and any(e.startswith(" grum") for e in lexicon.entries)
+    assert any(e.startswith(" snar") for e in lexicon.entries) and any(e.startswith(" grum") for e in lexicon.entries)
     assert " hunting snark " in lexicon.exceptions
     out = {r.doc_id: r._score for r in tx.apply(d, lexicon, ["doc_id"]).collect()}
     wrong = sum((out[i] >= 0.5) != bool(y) for i, y in labels if i >= 1000)
