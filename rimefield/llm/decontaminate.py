@@ -184,7 +184,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = W
 
 def cut(text: bytes, spans: list[int]) -> bytes:
     """The text without the bytes from each span's first word to its last."""
-    at = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    at = [(m.start(), m.end()) for m in WORD.finditer(text.lower())]
     out, last = [], 0
     for a, b in zip(spans[0::2], spans[1::2]):
         out.append(text[last : at[a][0]])

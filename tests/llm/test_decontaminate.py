@@ -49,7 +49,7 @@ def test_hits_equal_brute_force(spark):
 
 def test_decontaminate_cuts_and_drops(spark):
     item = " ".join(f"item{i}" for i in range(15))
-    rest = "Clean words, as they are. " * 10
+    rest = "A Clean I/O word, as THEY are. " * 10
     docs = spark.createDataFrame([(1, rest + item + "! " + rest, 7), (2, item, 7), (3, rest, 7), (4, None, None)], "doc_id long, text string, n_chars long")
     out = {r.doc_id: r for r in dc.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert set(out) == {1, 3, 4}
