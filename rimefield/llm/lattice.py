@@ -15,7 +15,7 @@ D = n1 / (n1 + 2 n2):
     score  = log10 of the sum over k of share_k * product of P_k over the text's words and end
 
 Scores use the text alone, never its language. Counting and scoring go by blocks of rows: each block asks for the
-distinct words it holds, a join with the counts answers, and each block is scored with its own answers, so no table
+distinct words it holds, each word's counts go back to the blocks that list it, and each block is scored with its own answers, so no table
 of words is sent to all tasks.
 
 Null and empty texts are one end. Repeated rows score alike; a null doc_id counts as the empty text for the split.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import materialize, remainder, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-MARK, LONGEST, BLOCK_ROWS, FLUSH, LEAST_SHARE, POOLED = "▁".encode(), 10, 4096, 400_000, 0.01, 0.1
+MARK, LONGEST, BLOCK_ROWS, FLUSH, LEAST_SHARE, POOLED = "▁".encode(), 10, 12288, 1_000_000, 0.01, 0.1
 END = b""
 NEG = float("-inf")
 
@@ -227,7 +227,6 @@ class Model:
 
     def answers(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """For each word: known, base, then log10 P_k; counts[:, 0] of all, then by component."""
-        n, v, *_ = self.totals[0]
         seen = counts[:, 0] > 0
         lattice = np.full((len(words), len(self.totals)), NEG)
         for part in by_length(words):
@@ -241,7 +240,7 @@ class Model:
                 few = {k: x[new] for k, x in found.items()}
                 for k in range(1, len(self.totals)):
                     lattice[part[new], k] = self.lattices[k].log_probability(len(own[0]), len(new), few)
-        out = [seen.astype(float), _log((counts[:, 0] + 0.1) / (n + 0.1 * (v + 1)))]
+        out = [seen.astype(float), self.base(counts[:, 0])]
         direct, low = self._step(0, counts[:, 0])
         for k in range(1, len(self.totals)):
             own, less = self._step(k, counts[:, k])
@@ -250,6 +249,10 @@ class Model:
                 out.append(np.logaddexp2(np.log2(own + less * direct), pieces / math.log10(2)) * math.log10(2))
         return np.maximum(np.stack(out, axis=1), -1e300)
 
+    def base(self, c: np.ndarray) -> np.ndarray:
+        n, v, *_ = self.totals[0]
+        return _log((c + 0.1) / (n + 0.1 * (v + 1)))
+
     def _step(self, k, c):
         """Discounted share of each word, and what is left for the words below."""
         n, v, n1, n2 = self.totals[k]
@@ -297,16 +300,16 @@ def _expected(words: DataFrame, pieces: Pieces, lattices: list[Lattice], groups:
 
 
 def fit(requests: DataFrame, n_components: int, vocabulary: list[bytes]) -> tuple[Model, DataFrame]:
-    """The model, and the table (word, c0, c1, ...) of counts."""
+    """The model, and the table (word, c0, c1, ..., blocks) of counts. A word lists the blocks that hold it: a number for each block_rows rows at most."""
     names = [f"c{k}" for k in range(n_components + 1)]
-    words = materialize(requests.groupBy("word").agg(F.sum("c").alias("c0"), *(F.sum(F.when(F.col("k") == k - 1, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(1, n_components + 1))))
+    words = materialize(requests.groupBy("word").agg(F.sum("c").alias("c0"), *(F.sum(F.when(F.col("k") == k - 1, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(1, n_components + 1)), F.collect_set("block").alias("blocks")))
     row = words.agg(*(f for c in names for f in (F.sum(c), F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2)))).first()
     totals = [tuple(int(x or 0) for x in row[4 * k : 4 * k + 4]) for k in range(n_components + 1)]
     ends = words.where(F.length("word") == 0).first()
     docs = [int(ends[c]) if ends else 0 for c in names[1:]]
     shares = [d / sum(docs) for d in docs] if sum(docs) else [1 / n_components] * n_components
     pieces, first = from_ranks(vocabulary)
-    train = words.where(F.col("c0") > 0)
+    train = words.where(F.col("c0") > 0).drop("blocks")
     once = _expected(train, pieces, [first], n_components)
     each = [first.updated(*x) for x in once]
     each = [old.updated(*x) for old, x in zip(each, _expected(train, pieces, each, n_components), strict=True)]
@@ -325,7 +328,7 @@ def score(docs: DataFrame, held_out: F.Column | None = None, component: str | No
     k = reduce(lambda w, x: w.when(F.col(component) == x[1], x[0]), enumerate(names), F.when(F.lit(False), 0)).otherwise(len(names))
     block = F.floor(F.monotonically_increasing_id() / block_rows)
     blocks = materialize(d.select("doc_id", F.col("_held").alias("held"), F.when(F.col("_held"), -1).otherwise(k).cast("int").alias("k"), F.col("text").cast("binary").alias("text"), block.alias("block")))
-    requests = materialize(blocks.select("block", "k", "text").mapInArrow(_counts, "block long, word binary, k int, c long"))
+    requests = blocks.select("block", "k", "text").mapInArrow(_counts, "block long, word binary, k int, c long")
     model, words = fit(requests, n, load_pieces(vocabulary))
     sent = spark.sparkContext.broadcast(model)
 
@@ -335,15 +338,18 @@ def score(docs: DataFrame, held_out: F.Column | None = None, component: str | No
             got = b.column("word").to_pylist()
             if got:
                 m = model.answers(got, np.stack([b.column(f"c{i}").to_numpy() for i in range(n + 1)], axis=1).astype(float))
-                yield pa.record_batch([b.column("word"), pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), n + 2).cast(pa.list_(pa.float64()))], ["word", "answer"])
+                packed = np.ascontiguousarray(np.maximum(m[:, 2:], -3e38), "<f4").tobytes()
+                yield pa.record_batch([b.column("blocks"), b.column("word"), b.column("c0"), pa.array([packed[i : i + 4 * n] for i in range(0, len(packed), 4 * n)], pa.binary())], ["blocks", "word", "c0", "answer"])
 
-    known = words.mapInArrow(answer, "word binary, answer array<double>")
-    told = requests.select("block", "word").join(known, "word")
+    # Packed, since a row goes to each block that holds the word.
+    known = words.mapInArrow(answer, "blocks array<long>, word binary, c0 long, answer binary")
+    told = known.select(F.explode("blocks").alias("block"), "word", "c0", "answer")
 
     def scored(asked: pa.Table, rows: pa.Table) -> pa.Table:
         model = sent.value
-        flat = asked.column("answer").combine_chunks()
-        m = (flat.flatten() if isinstance(flat, pa.Array) else flat.combine_chunks().flatten()).to_numpy().reshape(-1, n + 2)
+        c0 = asked.column("c0").to_numpy().astype(float)
+        lm = np.frombuffer(b"".join(asked.column("answer").to_pylist()), "<f4").reshape(-1, n).astype(float)
+        m = np.column_stack([c0 > 0, model.base(c0), lm])
         at = dict(zip(asked.column("word").to_pylist(), range(len(m)), strict=True))
         out = np.zeros((rows.num_rows, n + 2))
         sizes = np.zeros(rows.num_rows, np.int64)
