@@ -6,8 +6,9 @@ occurrence. A window that contains `share` = 0.8 of the template has a Jaccard s
 0.8t / (t + step + 0.2t), between 0.36 and 0.47; with 24 bands of one row it meets the template in some band with a
 probability of at least 1 - 0.64**24 = 0.99998. Windows retrieved by a band are verified by exact containment.
 
-Only windows with an anchor word are hashed: anchors are chosen so that each template shingle holds one, hence no
-window without an anchor shares a shingle with any template.
+Only windows that share a shingle with some template are hashed, since no band can retrieve the others: their
+similarity is 0. To find these, only shingles around an anchor word are looked at: anchors are chosen so that each
+template shingle holds one.
 
 Result: one row per document id, template and best window (the first of equal ones). Null and empty texts and texts
 of under five words have none; repeated rows of one id give one row; an empty table gives no rows. Texts are scanned
@@ -86,30 +87,37 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, share: float =
     anchor = anchors(templates, shingle)
     t = spark.createDataFrame([(k, v, len(v) - shingle + 1) for k, v in sorted(known.items())], "license string, words array<string>, t int")
     t = t.withColumn("shingles", F.array_distinct(shingle_hashes(F.col("words"), shingle)))
+    held_by: dict[int, set[int]] = {n: set() for n in lengths}
+    for row in t.select("t", "shingles").collect():
+        held_by[row["t"]] |= set(row["shingles"])
     t = t.select("license", "t", "shingles", F.posexplode(bands(F.col("shingles"))).alias("band", "least"))
 
-    d = docs.select("doc_id", "text").where(F.col("text").rlike(f"(?i)\\b({'|'.join(anchor)})\\b"))
+    # Explodes are outer ones: for inner ones Catalyst adds a filter on the array's size and computes the array twice.
+    d = docs.select("doc_id", F.lower("text").alias("text")).where(F.col("text").rlike("|".join(anchor)))
     d = d.select("doc_id", word_array(F.col("text")).alias("words"))
-    # Where the anchors stand: only windows around them are cut.
     marks = F.array(*map(F.lit, anchor))
-    places = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(marks, w), i)), lambda i: i.isNotNull())
-    d = d.withColumn("places", places)
-    step = F.expr("cast(ceil(t / 2) as int)")
-    d = d.withColumn("t", F.explode(F.array(*map(F.lit, lengths)))).withColumn("step", step)
+    d = d.withColumn("places", F.array_compact(F.transform("words", lambda w, i: F.when(F.array_contains(marks, w), i))))
     last = F.size("words") - shingle  # the last shingle's place
-    size = F.col("t") + F.col("step")
-
-    def windows(place: Column) -> Column:
-        """Numbers of the windows with a shingle that holds the word at a place."""
-        low = F.greatest(F.lit(0), F.ceil((place - shingle + 1 - size + 1) / F.col("step"))).cast("int")
-        high = F.floor(F.least(place, last) / F.col("step")).cast("int")
-        return F.when(high >= low, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
-
-    d = d.where(last >= 0).withColumn("window", F.explode(F.array_distinct(F.flatten(F.transform("places", windows)))))
-    d = d.withColumn("first", F.col("window") * F.col("step"))
-    part = F.slice("words", F.col("first") + 1, size + shingle - 1)
-    d = d.select("doc_id", "t", "first", shingle_hashes(part, shingle).alias("hashes")).where(F.size("hashes") > 0)
-    d = d.select("doc_id", "t", "first", "hashes", F.posexplode(bands(F.col("hashes"))).alias("band", "least"))
+    near = F.array_distinct(F.flatten(F.transform("places", lambda i: F.sequence(F.greatest(F.lit(0), i - shingle + 1), F.least(i, last)))))
+    near = F.when(last >= 0, near).otherwise(F.array().cast("array<int>"))
+    at = F.transform(near, lambda i: F.struct(i.alias("at"), F.xxhash64(F.array_join(F.slice("words", i + 1, shingle), " ")).alias("hash")))
+    # Shingles of templates in the text: a window without one has a similarity of 0 to every template.
+    d = d.withColumn("found", F.filter(at, lambda f: F.array_contains(F.lit(sorted(set().union(*held_by.values()))), f["hash"])))
+
+    def windows(t: int) -> Column:
+        """The windows for templates of t shingles that hold a shingle of one."""
+        step = math.ceil(t / 2)
+        size = t + step
+        mine = F.filter("found", lambda f: F.array_contains(F.lit(sorted(held_by[t])), f["hash"]))
+        numbers = F.transform(mine, lambda f: F.sequence(F.greatest(F.lit(0), F.ceil((f["at"] - size + 1) / step)).cast("int"), F.floor(f["at"] / step).cast("int")))
+        return F.transform(
+            F.array_distinct(F.flatten(numbers)),
+            lambda w: F.struct(F.lit(t).alias("t"), (w * step).alias("first"), F.slice("words", w * step + 1, size + shingle - 1).alias("part")),
+        )
+
+    d = d.select("doc_id", F.explode_outer(F.concat(*map(windows, lengths))).alias("w")).where(F.col("w").isNotNull())
+    d = d.select("doc_id", "w.t", "w.first", shingle_hashes(F.col("w.part"), shingle).alias("hashes"))
+    d = d.select("doc_id", "t", "first", "hashes", F.posexplode_outer(bands(F.col("hashes"))).alias("band", "least"))
     # The template table is bounded by the templates given: one row for each template and band.
     hit = d.join(F.broadcast(t), ["t", "band", "least"]).select("doc_id", "license", "first", "hashes", "shingles")
     held = F.size(F.array_intersect("hashes", "shingles")) / F.size("shingles")
