@@ -283,7 +283,7 @@ GRID = "gr AS (SELECT floor((p_retailprice - 900) / 40)::INT AS ix, floor(p_size
 
 
 def grid(spark, d):
-    t = table(spark, d, "part").where("p_partkey % 3 = 0")
+    t = table(spark, d, "part")
     return t.groupBy(P.cell_index(F.col("p_retailprice") - 900, 40).alias("ix"), P.cell_index(F.col("p_size"), 2).alias("iy")).agg(F.median(F.col("p_retailprice") * F.col("p_size")).alias("v"))
 
 
