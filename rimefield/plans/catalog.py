@@ -389,7 +389,7 @@ FROM cv JOIN ci USING (year) JOIN (SELECT DISTINCT year, nb FROM bl) USING (year
 def q_block_bootstrap(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("cell"), F.col("n_regionkey").alias("block"))
     v = cell_obs(spark, d).join(n, "cell").groupBy("block", F.year("time").alias("year"), "cell").agg(F.median("value").alias("v"))
-    return rounded(A.block_bootstrap(v, ["year"], "block", "v", draws=100), 4)
+    return rounded(A.block_bootstrap(v, ["year"], "block", "v"), 4)
 
 
 CLIM = "cl AS (SELECT c_nationkey AS cell, year(o_orderdate)::INT AS year, sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / count(*) / 100 AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), cm AS (SELECT *, median(v) OVER (PARTITION BY cell) AS md, stddev_samp(v) OVER (PARTITION BY cell) AS sd FROM cl), cz0 AS (SELECT *, median(abs(v - md)) OVER (PARTITION BY cell) / 0.6745::DOUBLE AS ms FROM cm), cz AS (SELECT cell, year, v, (v - md) / nullif(CASE WHEN ms > 0 THEN ms ELSE sd END, 0) AS z FROM cz0)"
