@@ -9,6 +9,7 @@ The automaton's size is bounded by `max_words` item words; larger benchmarks are
 stay whole) and the documents pass through one after the other, with a table written in between.
 
 Null and empty texts and items have no words. Repeated items count once per id; repeated documents get equal rows.
+Items without an id hit and are cut like others, but have no name: n_items and items_sha256 leave them out.
 An empty benchmark hits nothing, an empty document table gives no rows. Texts of any length are matched whole.
 """
 
@@ -38,7 +39,7 @@ def words(text: bytes | None) -> list[bytes]:
 class Automaton:
     """Of all items: states with transitions by word number, suffix link, longest length; which items' windows end in a state."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window, self.vocabulary = window, {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -47,8 +48,8 @@ class Automaton:
             last = 0
             for c in item:
                 last = self._extend(last, c)
-        #: At a state: (length, item) of windows that end there.
-        self.ends: dict[int, set[tuple[int, str]]] = {}
+        #: At a state: (length, item) of windows that end there; the item is None where it has no id.
+        self.ends: dict[int, set[tuple[int, str | None]]] = {}
         self.least = min([window, *(len(ws) for _, ws in coded)])
         for i, item in coded:
             state, size = 0, min(window, len(item))
@@ -95,11 +96,11 @@ class Automaton:
         return clone
 
     def match(self, found: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Spans of words (end exclusive) inside windows, merged, and the items whose windows occur. Words unknown to the items end a
+        """Spans of words (end exclusive) inside windows, merged, and the items with an id whose windows occur. Words unknown to the items end a
         match; stretches of known words shorter than any window need no walk."""
         codes = list(map(self.vocabulary.get, found))
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
+        items: set[str | None] = set()
         known = np.fromiter((c is not None for c in codes), dtype=np.int8, count=len(codes))
         edges = np.flatnonzero(np.diff(known, prepend=np.int8(0), append=np.int8(0)))
         starts, stops = edges[0::2], edges[1::2]
@@ -128,7 +129,7 @@ class Automaton:
                             spans[-1] = (first, k + 1)
                         else:
                             spans.append((k + 1 - longest, k + 1))
-        return merge(spans), items
+        return merge(spans), items - {None}
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -144,7 +145,7 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> Iterator[Automaton]:
     """Items stream to the driver, a part of at most max_words words (or one item) at a time."""
     part, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).where("item_id IS NOT NULL").distinct().toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).distinct().toLocalIterator():
         ws = words(bytes(r[1]) if r[1] is not None else None)
         if part and size + len(ws) > max_words:
             yield Automaton(part, window)
