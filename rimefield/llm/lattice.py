@@ -11,7 +11,7 @@ training rows or more, at most 100 by that rule, and the rest). With N tokens, V
 D = n1 / (n1 + 2 n2):
 
     P_k(w) = max(c_k - D_k, 0) / N_k + D_k V_k / N_k * (max(c - D, 0) / N + D V / N * L_k(w))
-    L_k(w) = 0.1 * lattice of all components + 0.9 * lattice of k, the latter for words without training count only
+    L_k(w) = 0.1 * lattice of all components + 0.9 * lattice of k
     score  = log10 of the sum over k of share_k * product of P_k over the text's words and end
 
 Scores use the text alone, never its language. Counting and scoring go by blocks of rows: each block asks for the
@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 from .common import materialize, remainder, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-MARK, LONGEST, BLOCK_ROWS, FLUSH, LEAST_SHARE, POOLED = "▁".encode(), 10, 12288, 1_000_000, 0.01, 0.1
+MARK, BLOCK_ROWS, FLUSH, LEAST_SHARE, POOLED = "▁".encode(), 12288, 1_000_000, 0.01, 0.1
 END = b""
 NEG = float("-inf")
 
 
 def load_pieces(path: str = VOCABULARY) -> list[bytes]:
-    """Pieces of the vocabulary by rank, as bytes; each single byte is one of them. Those over 10 bytes besides the mark are left out."""
+    """Pieces of the vocabulary by rank, as bytes; each single byte is one of them. Those with a mark past their start are in no word and are left out."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -53,8 +53,7 @@ def load_pieces(path: str = VOCABULARY) -> list[bytes]:
             out[bytes([int(model.id_to_piece(i)[3:5], 16)])] = None
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
             piece = model.id_to_piece(i).encode()
-            body = piece.removeprefix(MARK)
-            if MARK not in body and len(body) <= LONGEST:
+            if MARK not in piece.removeprefix(MARK):
                 out[piece] = None
     return list(out)
 
@@ -234,12 +233,8 @@ class Model:
             if not own[0]:
                 continue
             found = self.pieces.find(own)
-            lattice[part, 0] = self.lattices[0].log_probability(len(own[0]), len(own), found)
-            new = np.flatnonzero(~seen[part])
-            if len(new):
-                few = {k: x[new] for k, x in found.items()}
-                for k in range(1, len(self.totals)):
-                    lattice[part[new], k] = self.lattices[k].log_probability(len(own[0]), len(new), few)
+            for k in range(len(self.totals)):
+                lattice[part, k] = self.lattices[k].log_probability(len(own[0]), len(own), found)
         out = [seen.astype(float), self.base(counts[:, 0])]
         direct, low = self._step(0, counts[:, 0])
         for k in range(1, len(self.totals)):
