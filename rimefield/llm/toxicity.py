@@ -6,7 +6,9 @@ words and word beginnings, weighted by their log odds in toxic against other lab
 lexicon word with the word before or after it) are those that other rows hold and toxic ones hardly do. Weights of the matches, in all and
 per 100 words, go into a logistic function fitted on the same rows.
 
-Learning reads at most about `sample` labelled training rows, chosen by a hash of doc_id (a documented bound).
+An entry is learned from five toxic rows on, whatever their share, if a log-likelihood ratio test of its rows by class
+passes. Learning reads at most about `sample` labelled training rows, chosen by a hash of doc_id (a documented bound);
+this also bounds the entries and exceptions, which have no limit of their own.
 
 Null and empty texts have no matches and get the score of a text without matches. Repeated rows score alike; equal
 texts count once in learning. Without labels of both classes all scores are the share of toxic labels (0 if none).
@@ -23,12 +25,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, remainder, table
 
-SAMPLE, MOST, SHARE, ODDS, STEMS = 20_000, 5_000, 0.01, 2.5, range(4, 9)
+#: SURE: the test's chi-square of one degree at 1e-4.
+SAMPLE, SUPPORT, SURE, ODDS, STEMS = 20_000, 5, 15.137, 2.5, range(4, 9)
 #: Look-alikes, and digits and signs for letters.
 LOOK_ALIKES = dict(zip("аеорсухіѕјԁһӏкмтнвοαεικνρτυχ", "aeopcyxisjdhlkmthboaeikvptux", strict=True))
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "l": "i"}
@@ -113,7 +116,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = MOST) -> Lexicon:
+def ratio(a: Column, b: Column, toxic: int, other: int) -> Column:
+    """Log-likelihood ratio (G squared) of a of the toxic and b of the other rows, against one share in both."""
+    part = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
+    n = toxic + other
+    cells = part(a) + part(b) + part(toxic - a) + part(other - b)
+    return 2 * (cells - part(a + b) - part(n - a - b) - toxic * math.log(toxic) - other * math.log(other) + n * math.log(n))
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """docs, labels: rows to learn from, joined by doc_id."""
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     share = min(1.0, sample / max(1, marked.count()))
@@ -127,7 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
         return Lexicon({}, set(), (math.log(max(p, 1e-9) / max(1 - p, 1e-9)), 0.0, 0.0))
     counts = rows.mapInArrow(_features, "entry string, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("other") + 0.5) / (other + 1.0))
-    best = counts.withColumn("odds", odds).where((F.col("toxic") >= max(5, SHARE * toxic)) & (F.col("odds") >= ODDS)).orderBy(F.desc("odds"), "entry").limit(most).collect()
+    best = counts.withColumn("odds", odds).where((F.col("toxic") >= SUPPORT) & (F.col("odds") >= ODDS) & (ratio(F.col("toxic"), F.col("other"), toxic, other) >= SURE)).collect()
     found = {r.entry: r.odds for r in best}
     # A longer entry goes where a beginning of it tells as much.
     lexicon = Lexicon({e: w for e, w in found.items() if not any(found.get(e[:n], 0) >= w - 0.5 for n in range(5, len(e)))})
@@ -142,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
         yield pa.record_batch([pa.array([p for p, _ in pairs], pa.string()), pa.array([n * t for (_, t), n in pairs.items()], pa.int64()), pa.array([n * (1 - t) for (_, t), n in pairs.items()], pa.int64())], ["phrase", "toxic", "other"])
 
     spared = rows.mapInArrow(seen, "phrase string, toxic long, other long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    lexicon.exceptions = {r[0] for r in spared.where("other >= 3 AND toxic * 10 <= other").orderBy(F.desc("other"), "phrase").limit(most).select("phrase").collect()}
+    lexicon.exceptions = {r[0] for r in spared.where("other >= 3 AND toxic * 10 <= other").select("phrase").collect()}
 
     def weights(batches):
         automaton = lexicon.automaton()
