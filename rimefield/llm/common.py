@@ -41,6 +41,11 @@ def clear_tables(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: Catalyst may write a column's expression anew into each place of a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else as it is."""
     return F.translate(text, UPPER, LOWER)
