@@ -1,25 +1,29 @@
 """Language-model scores over a subword lattice.
 
-A text is a row of words and one end. The edges of a word's lattice are the pieces of an existing tokenizer
-vocabulary; a piece's weight starts from its rank in that vocabulary (1 / rank) and is re-estimated by expected counts
-over all distinct training words: once for all components, then once more for each. A forward recursion in log space sums over all segmentations, which gives the
-word's probability under the pieces; the first piece carries the word-start mark, and a stop weight ends the word, so
-these sum to one over all words. One more edge spans the whole word, with the word's discounted training count.
+A text is a row of words and one end. A word's lattice has an edge for each piece of an existing tokenizer vocabulary
+that stands in it; a piece's weight starts from its rank in that vocabulary (1 / rank; the installed vocabularies have
+no unigram scores) and is re-estimated by expected counts over all distinct training words: once for all components,
+then once more for each. The first piece carries the word-start mark and a stop weight ends the word, so the piece
+paths of all words sum to one. One more edge spans a whole word that the training rows hold, weighted by its
+discounted count; what the discounts leave goes to the piece paths. A forward recursion in log space sums all paths.
 
 Parameters: counts c of words in the training rows, in all and per component (the languages that hold 1% of the
-training rows or more, at most 100 by that rule, and the rest). With N tokens, V distinct ones and the discount
-D = n1 / (n1 + 2 n2):
+training rows or more, at most 100 by that rule, and the rest, if any). With N tokens, V distinct ones, the discount
+D = n1 / (n1 + 2 n2), and e the end's share of the tokens, a half at most:
 
     P_k(w) = max(c_k - D_k, 0) / N_k + D_k V_k / N_k * (max(c - D, 0) / N + D V / N * L_k(w))
-    L_k(w) = 0.1 * lattice of all components + 0.9 * lattice of k
+    L_k(w) = (1 - e) * (0.1 * piece paths of all components + 0.9 * piece paths of k), and e for the end
     score  = log10 of the sum over k of share_k * product of P_k over the text's words and end
+    lattice_score = log10 of the product of (1 - e) * piece paths of all components, and e for the end
 
-Scores use the text alone, never its language. Counting and scoring go by blocks of rows: each block asks for the
-distinct words it holds, each word's counts go back to the blocks that list it, and each block is scored with its own answers, so no table
-of words is sent to all tasks.
+Scores use the text alone, never its language. Counting and scoring go by blocks of rows of bounded bytes: each block
+asks for the distinct words it holds, each word's counts go back to the blocks that list it (a row lists at most about
+1,024), and each block is scored with its own answers, so no table of words is sent to all tasks.
 
 Null and empty texts are one end. Repeated rows score alike; a null doc_id counts as the empty text for the split.
-An empty table, or one without training rows, gives base and score with N = 0: all weight is on the lattice.
+Words without white space of any length are one word; beyond 64 bytes they are worked off one by one, in linear time.
+An empty table gives no rows; one without training rows gives base and score with N = 0: all weight is on the pieces
+and the end's share is a half.
 """
 
 from __future__ import annotations
@@ -31,13 +35,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, remainder, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-MARK, BLOCK_ROWS, FLUSH, LEAST_SHARE, POOLED = "▁".encode(), 12288, 1_000_000, 0.01, 0.1
+MARK, BLOCK_BYTES, LISTED, FLUSH, LONG, LEAST_SHARE, POOLED = "▁".encode(), 24 << 20, 1024, 1_000_000, 64, 0.01, 0.1
 END = b""
 NEG = float("-inf")
 
@@ -90,6 +95,14 @@ class Pieces:
             h = (h * int(self.BASE) + x + 1) % (1 << 64)
         return np.uint64(h)
 
+    def _look(self, h: np.ndarray) -> np.ndarray:
+        got = self.first[self._other(h, self.MIX, 42)]
+        got = np.where((got >= 0) & (self.hashes[got] == h), got, -1)
+        more = self.second[self._other(h, self.turn)]
+        if (more >= 0).any():
+            got = np.where((more >= 0) & (self.hashes[more] == h), more, got)
+        return got
+
     def find(self, words: list[bytes]) -> dict[tuple[int, int], np.ndarray]:
         """For words of one length: by start and end, each word's piece number or -1."""
         n, size = len(words), len(words[0])
@@ -100,24 +113,42 @@ class Pieces:
         out = {}
         for i in range(size):
             for j in range(i + 1, min(size, i + self.longest) + 1):
-                h = prefix[j] - prefix[i] * self.powers[j - i]
-                got = self.first[self._other(h, self.MIX, 42)]
-                got = np.where((got >= 0) & (self.hashes[got] == h), got, -1)
-                more = self.second[self._other(h, self.turn)]
-                if (more >= 0).any():
-                    got = np.where((more >= 0) & (self.hashes[more] == h), more, got)
+                got = self._look(prefix[j] - prefix[i] * self.powers[j - i])
                 if (got >= 0).any():
                     out[i, j] = got
         return out
 
+    def edges(self, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and piece numbers of one word's edges, by end."""
+        x, n = np.frombuffer(word, np.uint8).astype(np.uint64) + np.uint64(1), len(word)
+        inverse = np.uint64(pow(int(self.BASE), -1, 1 << 64))
+        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.BASE)]), dtype=np.uint64)
+        down = np.cumprod(np.full(n, inverse), dtype=np.uint64)
+        prefix = up * np.concatenate([[np.uint64(0)], np.cumsum(x * down, dtype=np.uint64)])
+        parts = []
+        for size in range(1, min(self.longest, n) + 1):
+            got = self._look(prefix[size:] - prefix[:-size] * self.powers[size])
+            at = np.flatnonzero(got >= 0)
+            parts.append((at, at + size, got[at]))
+        i, j, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(j, kind="stable")
+        return i[order], j[order], ids[order]
+
 
 def by_length(words: list[bytes], most: int = 2048) -> Iterator[np.ndarray]:
-    """Places of words of equal length, at most so many at once."""
+    """Places of words of equal length, at most so many at once; longer words than LONG alone."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(sizes, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
-        for a in range(0, len(part), most):
-            yield part[a : a + most]
+        step = 1 if len(part) and sizes[part[0]] > LONG else most
+        for a in range(0, len(part), step):
+            yield part[a : a + step]
+
+
+def _add(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a + math.log1p(math.exp(b - a)) if b > NEG else a
 
 
 class Lattice:
@@ -141,15 +172,44 @@ class Lattice:
     def log_probability(self, size: int, n: int, found: dict) -> np.ndarray:
         return self.forward(size, n, found)[-1] + self.stop
 
-    def expect(self, size: int, found: dict, member: np.ndarray, start: np.ndarray, inner: np.ndarray, stop: np.ndarray) -> None:
-        """Add the expected use of each piece in the words' segmentations to the rows of the groups that hold them (member: groups x words)."""
+    def forward_one(self, size: int, edges) -> list[float]:
+        """The same recursion for one long word."""
+        i, j, ids = edges
+        a = [NEG] * (size + 1)
+        a[0] = float(self.start[-1])
+        for x, y, inner, start in zip(i.tolist(), j.tolist(), self.inner[ids].tolist(), np.where(i == 0, self.start[ids], NEG).tolist(), strict=True):
+            a[y] = _add(a[y], _add(a[x] + inner, start) if start > NEG else a[x] + inner)
+        return a
+
+    def backward_one(self, size: int, edges) -> list[float]:
+        i, j, ids = edges
+        b = [NEG] * (size + 1)
+        b[-1] = 0.0
+        order = np.argsort(-i, kind="stable")
+        for x, y, inner in zip(i[order].tolist(), j[order].tolist(), self.inner[ids[order]].tolist(), strict=True):
+            b[x] = _add(b[x], inner + b[y])
+        return b
+
+    def expect(self, size: int, found, member: np.ndarray, start: np.ndarray, inner: np.ndarray, stop: np.ndarray) -> None:
+        """Add the expected use of each piece in the words' segmentations to the rows of the groups that hold them (member: groups x words).
+        found: of find(), or of edges() for one long word."""
+        stop += member.sum(1)
+        if isinstance(found, tuple):
+            a, b = (np.array(f(size, found)) for f in (self.forward_one, self.backward_one))
+            i, j, ids = found
+            use, begin = np.exp(a[i] + self.inner[ids] + b[j] - a[-1]), np.flatnonzero(i == 0)
+            first = np.exp(self.start[ids[begin]] + b[j[begin]] - a[-1])
+            for k in np.flatnonzero(member[:, 0]):
+                start[k, -1] += np.exp(self.start[-1] + b[0] - a[-1]) * member[k, 0]
+                np.add.at(inner[k], ids, use * member[k, 0])
+                np.add.at(start[k], ids[begin], first * member[k, 0])
+            return
         n = member.shape[1]
         a, b = self.forward(size, n, found), np.full((size + 1, n), NEG)
         b[-1] = 0
         for (i, j), ids in sorted(found.items(), key=lambda x: -x[0][0]):
             b[i] = np.logaddexp(b[i], self.inner[ids] + b[j])
         whole = a[-1]
-        stop += member.sum(1)
         start[:, -1] += member @ np.exp(self.start[-1] + b[0] - whole)
         for (i, j), ids in found.items():
             has = np.flatnonzero(ids >= 0)
@@ -180,6 +240,48 @@ def from_ranks(pieces: list[bytes]) -> tuple[Pieces, Lattice]:
     return Pieces(bodies), Lattice(start, inner, 0.4 * inner.sum())
 
 
+def piece_paths(pieces: Pieces, lattices: list[Lattice], words: list[bytes]) -> np.ndarray:
+    """Log probability of each word by the pieces of each lattice; the empty word has none."""
+    out = np.full((len(words), len(lattices)), NEG)
+    for part in by_length(words):
+        own = [words[i] for i in part]
+        size = len(own[0])
+        if size > LONG:
+            edges = pieces.edges(own[0])
+            out[part[0]] = [l.forward_one(size, edges)[-1] + l.stop for l in lattices]
+        elif size:
+            found = pieces.find(own)
+            for k, l in enumerate(lattices):
+                out[part, k] = l.log_probability(size, len(own), found)
+    return out
+
+
+def with_word(paths: np.ndarray, edge: np.ndarray, rest: float) -> np.ndarray:
+    """The recursion's last step: the edge that spans the whole word joins the piece paths, which have the rest of the weight. log10."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(edge), paths + np.log(rest)) / math.log(10)
+
+
+def numbered(block_bytes: int):
+    """Rows with the number of their block: a task's rows in order, cut where the bytes of the texts would exceed block_bytes."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, size = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            numbers = np.empty(b.num_rows, np.int64)
+            for i, n in enumerate(pc.binary_length(b.column("text")).to_pylist()):
+                n = (n or 0) + 64
+                if size and size + n > block_bytes:
+                    block, size = block + 1, 0
+                size += n
+                numbers[i] = block
+            yield pa.record_batch([*b.columns, pa.array(numbers)], [*b.schema.names, "block"])
+
+    return rows
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, k, text) to (block, word, k, c), k = -1 and c = 0 for rows that are held out."""
     store: dict[tuple[int, int], Counter] = {}
@@ -204,12 +306,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def _components(train: DataFrame, component: str | None) -> list[str]:
-    if not component:
-        return []
-    rows = train.groupBy(component).count()
+def _components(train: DataFrame) -> tuple[list[str], bool]:
+    """The kinds that are components, and whether rows are left for a further one."""
+    rows = train.groupBy("kind").count()
     total = rows.agg(F.sum("count")).first()[0] or 0
-    return sorted(r[0] for r in rows.where(F.col(component).isNotNull() & (F.col("count") >= LEAST_SHARE * total)).collect())
+    own = rows.where(F.col("kind").isNotNull() & (F.col("count") >= LEAST_SHARE * total)).collect()
+    return sorted(r[0] for r in own), sum(r[1] for r in own) < total or not own
 
 
 def _log(x):
@@ -220,29 +322,26 @@ def _log(x):
 class Model:
     """Totals and lattices; small whatever the corpus."""
 
-    def __init__(self, pieces: Pieces, lattices: list[Lattice], totals: list[tuple[int, int, int, int]], shares: list[float]):
-        #: totals: N, V, n1, n2, of all training tokens, then of each component; lattices likewise.
-        self.pieces, self.lattices, self.totals, self.shares = pieces, lattices, totals, shares
+    def __init__(self, pieces: Pieces, lattices: list[Lattice], totals: list[tuple[int, int, int, int]], shares: list[float], ends: int):
+        #: totals: N, V, n1, n2, of all training tokens, then of each component; lattices likewise. ends: training rows.
+        self.pieces, self.lattices, self.totals, self.shares, self.ends = pieces, lattices, totals, shares, ends
 
     def answers(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """For each word: known, base, then log10 P_k; counts[:, 0] of all, then by component."""
-        seen = counts[:, 0] > 0
-        lattice = np.full((len(words), len(self.totals)), NEG)
-        for part in by_length(words):
-            own = [words[i] for i in part]
-            if not own[0]:
-                continue
-            found = self.pieces.find(own)
-            for k in range(len(self.totals)):
-                lattice[part, k] = self.lattices[k].log_probability(len(own[0]), len(own), found)
-        out = [seen.astype(float), self.base(counts[:, 0])]
+        """For each word: log10 P_k of the components, then the pieces of all components; counts[:, 0] of all, then by component."""
+        end = np.fromiter((not w for w in words), bool, len(words))
+        e = self.end_share
+        paths = np.where(end[:, None], math.log(e), piece_paths(self.pieces, self.lattices, words) + math.log1p(-e))
         direct, low = self._step(0, counts[:, 0])
+        out = []
         for k in range(1, len(self.totals)):
             own, less = self._step(k, counts[:, k])
-            pieces = np.logaddexp(lattice[:, 0] + math.log(POOLED), lattice[:, k] + math.log(1 - POOLED)) / math.log(10) + math.log10(low * less)
-            with np.errstate(divide="ignore"):
-                out.append(np.logaddexp2(np.log2(own + less * direct), pieces / math.log10(2)) * math.log10(2))
-        return np.maximum(np.stack(out, axis=1), -1e300)
+            both = np.logaddexp(paths[:, 0] + math.log(POOLED), paths[:, k] + math.log(1 - POOLED))
+            out.append(with_word(both, own + less * direct, low * less))
+        return np.maximum(np.stack([*out, paths[:, 0] / math.log(10)], axis=1), -1e300)
+
+    @property
+    def end_share(self) -> float:
+        return min(0.5, self.ends / self.totals[0][0]) if self.ends else 0.5
 
     def base(self, c: np.ndarray) -> np.ndarray:
         n, v, *_ = self.totals[0]
@@ -272,14 +371,14 @@ def _expected(words: DataFrame, pieces: Pieces, lattices: list[Lattice], groups:
                 own = [got[i] for i in part]
                 if not own[0]:
                     continue
-                found = pieces.find(own)
+                found = pieces.edges(own[0]) if len(own[0]) > LONG else pieces.find(own)
                 if len(lattices) == 1:
                     lattices[0].expect(len(own[0]), found, member[:, part].astype(float), start, inner, stop)
                 else:
                     for k in range(groups):
                         here = np.flatnonzero(member[k, part])
                         if len(here):
-                            few = {x: ids[here] for x, ids in found.items()}
+                            few = found if isinstance(found, tuple) else {x: ids[here] for x, ids in found.items()}
                             lattices[k].expect(len(own[0]), few, np.ones((1, len(here))), start[k : k + 1], inner[k : k + 1], stop[k : k + 1])
         for k in range(groups):
             flat = np.concatenate([start[k], inner[k], stop[k : k + 1]])
@@ -294,37 +393,49 @@ def _expected(words: DataFrame, pieces: Pieces, lattices: list[Lattice], groups:
     return [(x[: size + 1], x[size + 1 : -1], x[-1]) for x in flat]
 
 
-def fit(requests: DataFrame, n_components: int, vocabulary: list[bytes]) -> tuple[Model, DataFrame]:
-    """The model, and the table (word, c0, c1, ..., blocks) of counts. A word lists the blocks that hold it: a number for each block_rows rows at most."""
+def fit(requests: DataFrame, n_components: int, vocabulary: list[bytes], n_blocks: int, listed: int = LISTED) -> tuple[Model, DataFrame]:
+    """The model, and the table (word, part, c0, c1, ..., blocks) of counts. A row lists the blocks of one part that hold the word, parts of
+    about `listed` blocks; one exchange by word serves the lists and the sums over the parts."""
     names = [f"c{k}" for k in range(n_components + 1)]
-    words = materialize(requests.groupBy("word").agg(F.sum("c").alias("c0"), *(F.sum(F.when(F.col("k") == k - 1, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(1, n_components + 1)), F.collect_set("block").alias("blocks")))
-    row = words.agg(*(f for c in names for f in (F.sum(c), F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2)))).first()
+    parts = -(-n_blocks // listed)
+    wide = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")) < n_blocks // 4
+    r = requests.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
+    r = r.repartition(n_blocks // 4, "word") if wide else r.repartition("word") if parts > 1 else r
+    words = r.groupBy("word", "part").agg(F.sum("c").alias("c0"), *(F.sum(F.when(F.col("k") == k - 1, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(1, n_components + 1)), F.collect_set("block").alias("blocks"))
+    words = words.withColumn("lead", F.lit(True))
+    if parts > 1:
+        w = Window.partitionBy("word")
+        words = words.withColumns({c: F.sum(c).over(w) for c in names} | {"lead": F.col("part") == F.min("part").over(w)})
+    words = materialize(words)
+    lead = words.where("lead")
+    row = lead.agg(*(f for c in names for f in (F.sum(c), F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2)))).first()
     totals = [tuple(int(x or 0) for x in row[4 * k : 4 * k + 4]) for k in range(n_components + 1)]
-    ends = words.where(F.length("word") == 0).first()
+    ends = lead.where(F.length("word") == 0).first()
     docs = [int(ends[c]) if ends else 0 for c in names[1:]]
     shares = [d / sum(docs) for d in docs] if sum(docs) else [1 / n_components] * n_components
     pieces, first = from_ranks(vocabulary)
-    train = words.where(F.col("c0") > 0).drop("blocks")
+    train = lead.where(F.col("c0") > 0).drop("blocks")
     once = _expected(train, pieces, [first], n_components)
     each = [first.updated(*x) for x in once]
     each = [old.updated(*x) for old, x in zip(each, _expected(train, pieces, each, n_components), strict=True)]
     pooled = first.updated(*(sum(x[i] for x in once) for i in range(3)))
-    return Model(pieces, [pooled, *each], totals, shares), words
+    return Model(pieces, [pooled, *each], totals, shares, sum(docs)), words
 
 
-def score(docs: DataFrame, held_out: F.Column | None = None, component: str | None = "lang", vocabulary: str = VOCABULARY, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
+def score(docs: DataFrame, held_out: F.Column | None = None, component: str | None = "lang", vocabulary: str = VOCABULARY, block_bytes: int = BLOCK_BYTES, listed: int = LISTED) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score for each row of docs."""
     spark = docs.sparkSession
     held = remainder(F.col("doc_id"), 10) == 0 if held_out is None else held_out
-    component = component if component in docs.columns else None
-    d = docs.withColumn("_held", held)
-    names = _components(d.where(~F.col("_held")), component)
-    n = len(names) + 1
-    k = reduce(lambda w, x: w.when(F.col(component) == x[1], x[0]), enumerate(names), F.when(F.lit(False), 0)).otherwise(len(names))
-    block = F.floor(F.monotonically_increasing_id() / block_rows)
-    blocks = materialize(d.select("doc_id", F.col("_held").alias("held"), F.when(F.col("_held"), -1).otherwise(k).cast("int").alias("k"), F.col("text").cast("binary").alias("text"), block.alias("block")))
+    kind = F.col(component).cast("string") if component in docs.columns else F.lit(None).cast("string")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), kind.alias("kind"), F.col("text").cast("binary").alias("text"))
+    names, rest = _components(d.where("NOT held"))
+    n = len(names) + rest
+    k = reduce(lambda w, x: w.when(F.col("kind") == x[1], x[0]), enumerate(names), F.when(F.lit(False), 0)).otherwise(n - 1)
+    d = d.select("doc_id", "held", F.when(F.col("held"), -1).otherwise(k).cast("int").alias("k"), "text")
+    blocks = materialize(d.mapInArrow(numbered(block_bytes), "doc_id long, held boolean, k int, text binary, block long"))
+    n_blocks = blocks.select("block").distinct().count()
     requests = blocks.select("block", "k", "text").mapInArrow(_counts, "block long, word binary, k int, c long")
-    model, words = fit(requests, n, load_pieces(vocabulary))
+    model, words = fit(requests, n, load_pieces(vocabulary), n_blocks, listed)
     sent = spark.sparkContext.broadcast(model)
 
     def answer(batches):
@@ -333,8 +444,8 @@ def score(docs: DataFrame, held_out: F.Column | None = None, component: str | No
             got = b.column("word").to_pylist()
             if got:
                 m = model.answers(got, np.stack([b.column(f"c{i}").to_numpy() for i in range(n + 1)], axis=1).astype(float))
-                packed = np.ascontiguousarray(np.maximum(m[:, 2:], -3e38), "<f4").tobytes()
-                yield pa.record_batch([b.column("blocks"), b.column("word"), b.column("c0"), pa.array([packed[i : i + 4 * n] for i in range(0, len(packed), 4 * n)], pa.binary())], ["blocks", "word", "c0", "answer"])
+                packed, size = np.ascontiguousarray(m, "<f8").tobytes(), 8 * (n + 1)
+                yield pa.record_batch([b.column("blocks"), b.column("word"), b.column("c0"), pa.array([packed[i : i + size] for i in range(0, len(packed), size)], pa.binary())], ["blocks", "word", "c0", "answer"])
 
     # Packed, since a row goes to each block that holds the word.
     known = words.mapInArrow(answer, "blocks array<long>, word binary, c0 long, answer binary")
@@ -343,10 +454,10 @@ def score(docs: DataFrame, held_out: F.Column | None = None, component: str | No
     def scored(asked: pa.Table, rows: pa.Table) -> pa.Table:
         model = sent.value
         c0 = asked.column("c0").to_numpy().astype(float)
-        lm = np.frombuffer(b"".join(asked.column("answer").to_pylist()), "<f4").reshape(-1, n).astype(float)
+        lm = np.frombuffer(b"".join(asked.column("answer").to_pylist()), "<f8").reshape(-1, n + 1)
         m = np.column_stack([c0 > 0, model.base(c0), lm])
         at = dict(zip(asked.column("word").to_pylist(), range(len(m)), strict=True))
-        out = np.zeros((rows.num_rows, n + 2))
+        out = np.zeros((rows.num_rows, n + 3))
         sizes = np.zeros(rows.num_rows, np.int64)
         for i, text in enumerate(rows.column("text")):
             found = (text.as_py() or b"").lower().split()
@@ -355,16 +466,19 @@ def score(docs: DataFrame, held_out: F.Column | None = None, component: str | No
             for a in range(0, len(found), 1 << 16):
                 part = found[a : a + (1 << 16)]
                 out[i] += m[np.fromiter(map(at.__getitem__, part), np.int64, len(part))].sum(0)
-        x = out[:, 2:] + _log(np.maximum(model.shares, 1e-300))
+        x = out[:, 2:-1] + _log(np.maximum(model.shares, 1e-300))
         top = x.max(1, keepdims=True)
         total = top[:, 0] + np.log10(np.power(10.0, x - top).sum(1))
-        cols = [rows.column("doc_id"), rows.column("held"), sizes, out[:, 0].round().astype(np.int64), np.full(len(sizes), model.totals[0][0]), out[:, 1], total]
-        return pa.table([pa.chunked_array([c]) if isinstance(c, pa.Array) else c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in cols], names=RESULT_NAMES)
+        cols = [rows.column("doc_id"), rows.column("held"), sizes, out[:, 0].round().astype(np.int64), np.full(len(sizes), model.totals[0][0]), out[:, 1], total, out[:, -1]]
+        return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in cols], names=RESULT_NAMES)
 
-    return told.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(scored, RESULT)
+    # A task for each block, or so.
+    many = n_blocks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = lambda df: (df.repartition(n_blocks, "block") if many else df).groupBy("block")
+    return by(told).cogroup(by(blocks.select("block", "doc_id", "held", "text"))).applyInArrow(scored, RESULT)
 
 
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
 RESULT_NAMES = [c.split()[0] for c in RESULT.split(", ")]
 
 
