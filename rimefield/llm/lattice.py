@@ -11,7 +11,8 @@ Parameters: counts c of words in the training rows, in all and per component (th
 training rows or more, at most 100 by that rule, and the rest, if any). With N tokens, V distinct ones, the discount
 D = n1 / (n1 + 2 n2), and e the end's share of the tokens, a half at most:
 
-    P_k(w) = max(c_k - D_k, 0) / N_k + D_k V_k / N_k * (max(c - D, 0) / N + D V / N * L_k(w))
+    P_k(w) = max(c_k - D_k, 0) / N_k + D_k V_k / N_k * (b_k * max(c - D, 0) / (N - D V) + (1 - b_k) * L_k(w))
+    b_k    = share of the component's distinct words that others hold too: of words new to k, so many are known
     L_k(w) = (1 - e) * (0.1 * piece paths of all components + 0.9 * piece paths of k), and e for the end
     score  = log10 of the sum over k of share_k * product of P_k over the text's words and end
     lattice_score = log10 of the product of (1 - e) * piece paths of all components, and e for the end
@@ -322,8 +323,8 @@ def _log(x):
 class Model:
     """Totals and lattices; small whatever the corpus."""
 
-    def __init__(self, pieces: Pieces, lattices: list[Lattice], totals: list[tuple[int, int, int, int]], shares: list[float], ends: int):
-        #: totals: N, V, n1, n2, of all training tokens, then of each component; lattices likewise. ends: training rows.
+    def __init__(self, pieces: Pieces, lattices: list[Lattice], totals: list[tuple[int, int, int, int, int]], shares: list[float], ends: int):
+        #: totals: N, V, n1, n2, and words that other components hold too, of all training tokens, then of each component; lattices likewise. ends: training rows.
         self.pieces, self.lattices, self.totals, self.shares, self.ends = pieces, lattices, totals, shares, ends
 
     def answers(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
@@ -335,8 +336,10 @@ class Model:
         out = []
         for k in range(1, len(self.totals)):
             own, less = self._step(k, counts[:, k])
+            v, shared = self.totals[k][1], self.totals[k][4]
+            b = min(0.99, max(0.01, shared / v)) if v and low < 1 else 0.0
             both = np.logaddexp(paths[:, 0] + math.log(POOLED), paths[:, k] + math.log(1 - POOLED))
-            out.append(with_word(both, own + less * direct, low * less))
+            out.append(with_word(both, own + less * b * direct / max(1 - low, 1e-9), less * (1 - b)))
         return np.maximum(np.stack([*out, paths[:, 0] / math.log(10)], axis=1), -1e300)
 
     @property
@@ -349,7 +352,7 @@ class Model:
 
     def _step(self, k, c):
         """Discounted share of each word, and what is left for the words below."""
-        n, v, n1, n2 = self.totals[k]
+        n, v, n1, n2, _ = self.totals[k]
         if not n:
             return np.zeros(len(c)), 1.0
         d = min(0.9, max(0.1, n1 / (n1 + 2 * n2) if n1 + n2 else 0.5))
@@ -408,8 +411,8 @@ def fit(requests: DataFrame, n_components: int, vocabulary: list[bytes], n_block
         words = words.withColumns({c: F.sum(c).over(w) for c in names} | {"lead": F.col("part") == F.min("part").over(w)})
     words = materialize(words)
     lead = words.where("lead")
-    row = lead.agg(*(f for c in names for f in (F.sum(c), F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2)))).first()
-    totals = [tuple(int(x or 0) for x in row[4 * k : 4 * k + 4]) for k in range(n_components + 1)]
+    row = lead.agg(*(f for c in names for f in (F.sum(c), F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2), F.count_if((F.col(c) > 0) & (F.col("c0") > F.col(c)))))).first()
+    totals = [tuple(int(x or 0) for x in row[5 * k : 5 * k + 5]) for k in range(n_components + 1)]
     ends = lead.where(F.length("word") == 0).first()
     docs = [int(ends[c]) if ends else 0 for c in names[1:]]
     shares = [d / sum(docs) for d in docs] if sum(docs) else [1 / n_components] * n_components

@@ -113,10 +113,10 @@ def test_mixture_equals_definition(spark):
 
     def prob(k, w):
         piece = e if not w else (1 - e) * (0.1 * all_segmentations(model.pieces, model.lattices[0], w) + 0.9 * all_segmentations(model.pieces, model.lattices[k], w))
-        for j in (0, k):
-            n = sum(c[j].values())
-            piece = max(c[j][w] - disc[j], 0) / n + disc[j] * len(c[j]) / n * piece
-        return piece
+        n, b = [sum(x.values()) for x in c], sum(c[0][x] > c[k][x] for x in c[k]) / len(c[k])
+        b = min(0.99, max(0.01, b))
+        lower = b * max(c[0][w] - disc[0], 0) / (n[0] - disc[0] * len(c[0])) + (1 - b) * piece
+        return max(c[k][w] - disc[k], 0) / n[k] + disc[k] * len(c[k]) / n[k] * lower
 
     for i, t, _ in data:
         want = math.log10(sum(n_docs[k - 1] / sum(n_docs) * math.prod(prob(k, w) for w in tokens(t)) for k in (1, 2)))
