@@ -18,27 +18,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary folder where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary folder, in local mode only:
+    on a cluster each executor would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"spark.checkpoint.dir is unset: on {master} it must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='rimefield-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _tables(spark: SparkSession):
+    """Path and file system of this application's tables."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}")
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write a table to the shared folder and read it again. Its files outlive lost executors."""
+    """Cut the lineage: write a table to the shared folder and read it again. Its files outlive lost executors and go when the
+    application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    folder, fs = _tables(spark)
+    fs.deleteOnExit(folder)
+    path = f"{folder.toString()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_tables(spark: SparkSession) -> None:
     """Remove what materialize() has written in this application, once its results are no longer read."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path, fs = _tables(spark)
+    fs.delete(path, True)
 
 
 def let(value: Column, body) -> Column:

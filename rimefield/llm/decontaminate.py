@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-WINDOW, COVERAGE, MAX_WORDS = 10, 0.5, 1_000_000
+#: MAX_WORDS: about 150 MB on the driver and in each Python worker.
+WINDOW, COVERAGE, MAX_WORDS = 10, 0.5, 200_000
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Bytes of no word become blanks, A-Z lower case, the rest stays.
 NORMAL = bytes(32 if b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 128 else b + 32 if 65 <= b < 91 else b for b in range(256))
@@ -156,9 +157,9 @@ def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WO
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
-    """keep, _text (binary), _n (words), _spans (flat list of starts and ends in words), _items, for each row of docs."""
+    """row (a struct of keep), text (binary), n (words), spans (flat list of starts and ends in words), items, for each row of docs."""
     spark = docs.sparkSession
-    d = docs.select(*keep, F.col("text").cast("binary").alias("_text")).withColumns({"_n": F.lit(0).cast("long"), "_spans": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
+    d = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("binary").alias("text"), F.lit(0).cast("long").alias("n"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
     schema = d.schema
     for k, machine in enumerate(automata(benchmark, window, max_words)):
         sent = spark.sparkContext.broadcast(machine)
@@ -167,7 +168,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = W
             machine = sent.value
             for b in batches:
                 n, spans, items = [], [], []
-                for t, old, had in zip(b.column("_text"), b.column("_spans"), b.column("_items"), strict=True):
+                for t, old, had in zip(b.column("text"), b.column("spans"), b.column("items"), strict=True):
                     ws = words(t.as_py())
                     s, i = machine.match(ws)
                     if len(old):
@@ -176,8 +177,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = W
                     n.append(len(ws))
                     spans.append([x for pair in s for x in pair])
                     items.append(sorted({*i, *had.as_py()}) if i or len(had) else [])
-                cols = [b.column(c) for c in keep] + [b.column("_text"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.record_batch(cols, [*keep, "_text", "_n", "_spans", "_items"])
+                yield pa.record_batch([b.column("row"), b.column("text"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], schema.names)
 
         d = (d if k == 0 else materialize(d)).mapInArrow(rows, schema)
     return d
@@ -195,22 +195,19 @@ def cut(text: bytes, spans: list[int]) -> bytes:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """The documents without hit spans; those with a hit share over the coverage limit go. Other columns stay, n_chars follows."""
-    names = docs.columns
-    rest = [c for c in names if c != "text"]
 
     def cleaned(batches):
         for b in batches:
-            spans, n, old = b.column("_spans").to_pylist(), b.column("_n").to_pylist(), b.column("_text").to_pylist()
+            spans, n, old = b.column("spans").to_pylist(), b.column("n").to_pylist(), b.column("text")
             stay = [i for i, s in enumerate(spans) if sum(s[1::2]) - sum(s[0::2]) <= coverage * max(1, n[i])]
-            b = b.take(pa.array(stay, pa.int64()))
-            texts = [cut(old[i], spans[i]).decode("utf-8", "replace") if spans[i] else old[i] and old[i].decode("utf-8", "replace") if old[i] != b"" else "" for i in stay]
-            cols = {c: b.column(c) for c in rest} | {"text": pa.array(texts, pa.string())}
-            if "n_chars" in rest:
-                kept = cols["n_chars"].to_pylist()
-                cols["n_chars"] = pa.array([len(t) if spans[i] else k for i, t, k in zip(stay, texts, kept, strict=True)], cols["n_chars"].type)
-            yield pa.record_batch([cols[c] for c in names], names)
+            texts = [cut(old[i].as_py(), spans[i]).decode("utf-8", "replace") if spans[i] else None for i in stay]
+            yield pa.record_batch([b.column("row").take(pa.array(stay, pa.int64())), pa.array(texts, pa.string())], ["row", "cut"])
 
-    return mark(docs, benchmark, rest, window).mapInArrow(cleaned, docs.select(*(F.col(c).cast("string") if c == "text" else F.col(c) for c in names)).schema)
+    d = mark(docs, benchmark, docs.columns, window)
+    d = d.mapInArrow(cleaned, d.select("row", F.lit(None).cast("string").alias("cut")).schema)
+    old = lambda c: F.col("row").getField(c)
+    new = {"text": lambda t: F.coalesce("cut", old("text").cast("string")), "n_chars": lambda t: F.coalesce(F.length("cut").cast(t), old("n_chars"))}
+    return d.select(*((new[c](t) if c in new else old(c)).alias(c) for c, t in docs.dtypes))
 
 
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -219,14 +216,33 @@ DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 stri
 def _digest(batches):
     for b in batches:
         hits, items, shas = [], [], []
-        for s, i in zip(b.column("_spans"), b.column("_items"), strict=True):
+        for s, i in zip(b.column("spans"), b.column("items"), strict=True):
             flat, names = s.as_py(), i.as_py()
             hits.append(sum(flat[1::2]) - sum(flat[0::2]))
             items.append(len(names))
             shas.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-        yield pa.record_batch([b.column("doc_id").cast(pa.int64()), b.column("_n"), pa.array(hits, pa.int64()), pa.array(items, pa.int64()), pa.array(shas), pa.array([h > 0 for h in hits])], [c.split()[0] for c in DIGEST.split(", ")])
+        yield pa.record_batch([b.column("doc_id").cast(pa.int64()), b.column("n"), pa.array(hits, pa.int64()), pa.array(items, pa.int64()), pa.array(shas), pa.array([h > 0 for h in hits])], [c.split()[0] for c in DIGEST.split(", ")])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
-    return d.select("doc_id", "_n", "_spans", "_items").mapInArrow(_digest, DIGEST)
+    return d.select("row.doc_id", "n", "spans", "items").mapInArrow(_digest, DIGEST)
+
+
+def _sql() -> str:
+    """The query in SQL: all windows of all documents, of every size that items have, meet those of the items."""
+    ws = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {ws} AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, {ws} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, least({WINDOW}, len(w)) AS n, array_to_string(w[k:k + least({WINDOW}, len(w)) - 1], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+dw AS (SELECT rid, k, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+h AS (SELECT rid, k, n, item FROM dw JOIN iw USING (n, s)),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS p FROM h) GROUP BY rid),
+it AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h WHERE item IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
+"""
+
+
+SQL = _sql()

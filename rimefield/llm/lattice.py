@@ -18,8 +18,8 @@ D = n1 / (n1 + 2 n2), and e the end's share of the tokens, a half at most:
     lattice_score = log10 of the product of (1 - e) * piece paths of all components, and e for the end
 
 Scores use the text alone, never its language. Counting and scoring go by blocks of rows of bounded bytes: each block
-asks for the distinct words it holds, each word's counts go back to the blocks that list it (a row lists at most about
-1,024), and each block is scored with its own answers, so no table of words is sent to all tasks.
+asks for the distinct words it holds, the counts of words that several blocks hold go back to them (a row lists at most
+about 1,024 blocks), and each block is scored with its own answers, so no table of words is sent to all tasks.
 
 Null and empty texts are one end. Repeated rows score alike; a null doc_id counts as the empty text for the split.
 Words without white space of any length are one word; beyond 64 bytes they are worked off one by one, in linear time.
@@ -30,9 +30,10 @@ and the end's share is a half.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -397,18 +398,18 @@ def _expected(words: DataFrame, pieces: Pieces, lattices: list[Lattice], groups:
 
 
 def fit(requests: DataFrame, n_components: int, vocabulary: list[bytes], n_blocks: int, listed: int = LISTED) -> tuple[Model, DataFrame]:
-    """The model, and the table (word, part, c0, c1, ..., blocks) of counts. A row lists the blocks of one part that hold the word, parts of
-    about `listed` blocks; one exchange by word serves the lists and the sums over the parts."""
+    """The model, and the table (word, part, c0, c1, ..., blocks, spread) of counts. A row lists the blocks of one part that hold the word,
+    parts of about `listed` blocks; one exchange by word serves the lists and the sums over the parts. spread: blocks of all parts."""
     names = [f"c{k}" for k in range(n_components + 1)]
     parts = -(-n_blocks // listed)
     wide = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")) < n_blocks // 4
     r = requests.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
     r = r.repartition(n_blocks // 4, "word") if wide else r.repartition("word") if parts > 1 else r
     words = r.groupBy("word", "part").agg(F.sum("c").alias("c0"), *(F.sum(F.when(F.col("k") == k - 1, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(1, n_components + 1)), F.collect_set("block").alias("blocks"))
-    words = words.withColumn("lead", F.lit(True))
+    words = words.withColumns({"lead": F.lit(True), "spread": F.size("blocks")})
     if parts > 1:
         w = Window.partitionBy("word")
-        words = words.withColumns({c: F.sum(c).over(w) for c in names} | {"lead": F.col("part") == F.min("part").over(w)})
+        words = words.withColumns({c: F.sum(c).over(w) for c in [*names, "spread"]} | {"lead": F.col("part") == F.min("part").over(w)})
     words = materialize(words)
     lead = words.where("lead")
     row = lead.agg(*(f for c in names for f in (F.sum(c), F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2), F.count_if((F.col(c) > 0) & (F.col("c0") > F.col(c)))))).first()
@@ -451,24 +452,34 @@ def score(docs: DataFrame, held_out: F.Column | None = None, component: str | No
                 yield pa.record_batch([b.column("blocks"), b.column("word"), b.column("c0"), pa.array([packed[i : i + size] for i in range(0, len(packed), size)], pa.binary())], ["blocks", "word", "c0", "answer"])
 
     # Packed, since a row goes to each block that holds the word.
-    known = words.mapInArrow(answer, "blocks array<long>, word binary, c0 long, answer binary")
+    # A word of one block is answered there, from the block's own counts.
+    known = words.where("spread > 1").mapInArrow(answer, "blocks array<long>, word binary, c0 long, answer binary")
     told = known.select(F.explode("blocks").alias("block"), "word", "c0", "answer")
 
     def scored(asked: pa.Table, rows: pa.Table) -> pa.Table:
         model = sent.value
         c0 = asked.column("c0").to_numpy().astype(float)
         lm = np.frombuffer(b"".join(asked.column("answer").to_pylist()), "<f8").reshape(-1, n + 1)
-        m = np.column_stack([c0 > 0, model.base(c0), lm])
-        at = dict(zip(asked.column("word").to_pylist(), range(len(m)), strict=True))
-        out = np.zeros((rows.num_rows, n + 3))
-        sizes = np.zeros(rows.num_rows, np.int64)
-        for i, text in enumerate(rows.column("text")):
+        at = defaultdict(count(len(c0)).__next__, zip(asked.column("word").to_pylist(), range(len(c0)), strict=True))
+        places = []
+        for text in rows.column("text"):
             found = (text.as_py() or b"").lower().split()
             found.append(END)
-            sizes[i] = len(found)
-            for a in range(0, len(found), 1 << 16):
-                part = found[a : a + (1 << 16)]
-                out[i] += m[np.fromiter(map(at.__getitem__, part), np.int64, len(part))].sum(0)
+            places.append(np.fromiter(map(at.__getitem__, found), np.int32, len(found)))
+        own = list(islice(at, len(c0), None))
+        counts = np.zeros((len(own), n + 1))
+        for k, p in zip(rows.column("k").to_pylist(), places, strict=True):
+            if k >= 0:
+                p = p[p >= len(c0)] - len(c0)
+                np.add.at(counts, (p, 0), 1)
+                np.add.at(counts, (p, k + 1), 1)
+        c0 = np.concatenate([c0, counts[:, 0]])
+        m = np.column_stack([c0 > 0, model.base(c0), np.concatenate([lm, model.answers(own, counts)]) if own else lm])
+        out = np.zeros((rows.num_rows, n + 3))
+        sizes = np.fromiter(map(len, places), np.int64, len(places))
+        for i, p in enumerate(places):
+            for a in range(0, len(p), 1 << 16):
+                out[i] += m[p[a : a + (1 << 16)]].sum(0)
         x = out[:, 2:-1] + _log(np.maximum(model.shares, 1e-300))
         top = x.max(1, keepdims=True)
         total = top[:, 0] + np.log10(np.power(10.0, x - top).sum(1))
@@ -478,7 +489,7 @@ def score(docs: DataFrame, held_out: F.Column | None = None, component: str | No
     # A task for each block, or so.
     many = n_blocks > int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = lambda df: (df.repartition(n_blocks, "block") if many else df).groupBy("block")
-    return by(told).cogroup(by(blocks.select("block", "doc_id", "held", "text"))).applyInArrow(scored, RESULT)
+    return by(told).cogroup(by(blocks.select("block", "doc_id", "held", "k", "text"))).applyInArrow(scored, RESULT)
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"

@@ -14,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, table
+from .common import count_words, materialize, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
-SHARE, CAP, SEED = 1.5, 2.0, "mix-1"
+SHARE, CAP, SEED, SENT = 1.5, 2.0, "mix-1", 200_000
 
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
@@ -56,6 +56,9 @@ def plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED, keep
     sized = docs.select(*keep, count_words(F.col("text")).alias(names[0]))
     by_source = docs.groupBy("source").agg(F.sum(count_words(F.col("text"))).alias("source_size"))
     t = targets(by_source, weights, share, cap).select(F.col("source").alias("_source"), F.col("source_size").alias(names[1]), F.col("target").alias(names[2]), F.col("rate").alias(names[3]))
+    # One row per source. Sent to all tasks where they are few: else every text would be shuffled by its source.
+    t = materialize(t)
+    t = F.broadcast(t) if t.count() <= SENT else t
     joined = sized.join(t, sized["source"].eqNullSafe(t["_source"]), "left")
     rate = F.col("_rate")
     copies = F.floor(rate) + F.when(uniform(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
@@ -64,8 +67,9 @@ def plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED, keep
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each row as often as it is taken, with the input's columns."""
-    names = docs.columns
-    return plan(docs, keep=names, **options).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    d = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text")
+    d = plan(d, keep=["row", "doc_id", "source"], **options).where("_copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return d.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ page is the number of the stream's samples up to its last finished packet. decod
 each page's CRC, joins packets that run over pages, sorts pages by stream and gives times at the stream's rate.
 
 Null and empty texts are stored as one block of padding. Equal texts give equal values; rows are independent, so
-repeated rows and extra columns don't matter, and an empty table gives no rows. Damaged pages raise BadPage.
+repeated rows and extra columns don't matter, and an empty table gives no rows. decode() raises BadPage at a damaged
+page; demux() names the fault in a row of its own and goes on at the next page whose checksum holds, without the
+packets that the damaged page began, held or ended.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,32 +92,57 @@ class Stream:
         return max(self.granules, default=0) / rate
 
 
-def decode(data: bytes) -> dict[int, Stream]:
-    """Logical streams by serial number. granules: for each page on which a packet ends, its position."""
+def _page(data: bytes, view: memoryview, at: int):
+    """(flags, granule, serial, number, lacing, start, end) of the page at a byte; BadPage if there is none."""
+    if data[at : at + 4] != b"OggS" or at + 27 > len(data):
+        raise BadPage(f"no page at byte {at}")
+    _, version, flags, granule, serial, number, crc = struct.unpack_from("<4sBBqIII", data, at)
+    n = data[at + 26]
+    lacing = data[at + 27 : at + 27 + n]
+    start = at + 27 + n
+    end = start + sum(lacing)
+    if version or len(lacing) < n or end > len(data):
+        raise BadPage(f"page at byte {at} is cut off or of another version")
+    if ogg_crc(b"".join((view[at : at + 22], b"\0\0\0\0", view[at + 26 : end]))) != crc:
+        raise BadPage(f"checksum of the page at byte {at}")
+    return flags, granule, serial, number, lacing, start, end
+
+
+def decode(data: bytes, faults: list[str] | None = None) -> dict[int, Stream]:
+    """Logical streams by serial number. granules: for each page on which a packet ends, its position. Without a list for faults the
+    first one raises BadPage."""
     streams: dict[int, Stream] = {}
     at, view = 0, memoryview(data)
+
+    def fault(text: str) -> None:
+        if faults is None:
+            raise BadPage(text)
+        faults.append(text)
+
     while at < len(data):
-        if data[at : at + 4] != b"OggS" or at + 27 > len(data):
-            raise BadPage(f"no page at byte {at}")
-        _, version, flags, granule, serial, number, crc = struct.unpack_from("<4sBBqIII", data, at)
-        n = data[at + 26]
-        lacing = data[at + 27 : at + 27 + n]
-        start = at + 27 + n
-        end = start + sum(lacing)
-        if version or end > len(data):
-            raise BadPage(f"page at byte {at} is cut off or of another version")
-        if ogg_crc(b"".join((view[at : at + 22], b"\0\0\0\0", view[at + 26 : end]))) != crc:
-            raise BadPage(f"checksum of the page at byte {at}")
+        try:
+            flags, granule, serial, number, lacing, start, end = _page(data, view, at)
+        except BadPage as e:
+            fault(str(e))
+            at = data.find(b"OggS", at + 1)
+            if at < 0:
+                break
+            continue
         s = streams.setdefault(serial, Stream())
+        rest = False
         if number != s.next_page or bool(flags & 2) != (number == 0) or bool(flags & 1) != bool(s.part):
-            raise BadPage(f"page {number} of stream {serial} is out of order")
+            fault(f"page {number} of stream {serial} is out of order")
+            s.part, rest = [], bool(flags & 1)
         s.next_page, s.pages, s.ended = number + 1, s.pages + 1, bool(flags & 4)
         for v in lacing:
             s.part.append(data[start : start + v])
             start += v
             if v < 255:
-                s.packets.append(b"".join(s.part))
-                s.part = []
+                if not rest:
+                    s.packets.append(b"".join(s.part))
+                s.part, rest = [], False
+        if rest:
+            s.part = []
         if granule >= 0:
             s.granules.append(granule)
         at = end
@@ -143,7 +171,8 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             media = encode_payload(pad(raw))
             streams = decode(media)
             got = read_payload(streams)
-            feature = ";".join(f"{k}:pages={s.pages},packets={len(s.packets)},granule={max(s.granules)},seconds={s.seconds():.6f}" for k, s in sorted(streams.items()))
+            x = np.frombuffer(got, np.uint8).astype(np.int64)
+            feature = f"sum={x.sum()},squares={(x * x).sum()},crossings={np.count_nonzero(np.diff(x >= 128))};" + ";".join(f"{k}:pages={s.pages},packets={len(s.packets)},granule={max(s.granules)},seconds={s.seconds():.6f}" for k, s in sorted(streams.items()))
             rows.append((doc_id, len(raw), len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
         if rows:
             types = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2 + [pa.string()] * 2
@@ -152,27 +181,35 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encode_column(df: DataFrame, column: str, out: str = "media") -> DataFrame:
     """Adds the Ogg bytes of a binary column; null stays null."""
+    at = df.columns.index(column)
 
-    @F.udf("binary")
-    def encode(x):
-        return None if x is None else encode_payload(pad(bytes(x)))
+    def rows(batches):
+        for b in batches:
+            media = [None if x is None else encode_payload(pad(x)) for x in (v.as_py() for v in b.column(at))]
+            yield pa.record_batch([*b.columns, pa.array(media, pa.binary())], [*b.schema.names, out])
 
-    return df.withColumn(out, encode(F.col(column)))
+    return df.mapInArrow(rows, df.select("*", F.lit(None).cast("binary").alias(out)).schema)
 
 
 def demux(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
-    """One row per packet of the Ogg bytes in a column: keep, serial, packet, data; null has no packets."""
-    schema = df.select(*keep).schema.add("serial", "long").add("packet", "long").add("data", "binary")
+    """One row per packet of the Ogg bytes in a column: keep, serial, packet, data, fault; null has no packets. A fault has a row with
+    the text of it, and null for the rest."""
+    schema = df.select(*keep).schema.add("serial", "long").add("packet", "long").add("data", "binary").add("fault", "string")
 
     def rows(batches):
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                if r[column] is not None:
-                    for serial, s in sorted(decode(r[column]).items()):
-                        out += [{k: r[k] for k in keep} | {"serial": serial, "packet": i, "data": p} for i, p in enumerate(s.packets)]
-            if out:
-                yield pa.RecordBatch.from_pylist(out)
+            at, got = [], []
+            for i, v in enumerate(b.column(len(keep))):
+                if v.is_valid:
+                    faults: list[str] = []
+                    for serial, s in sorted(decode(v.as_py(), faults).items()):
+                        got += [(serial, n, p, None) for n, p in enumerate(s.packets)]
+                    got += [(None, None, None, f) for f in faults]
+                    at += [i] * (len(got) - len(at))
+            if got:
+                taken = pa.array(at, pa.int64())
+                types = (pa.int64(), pa.int64(), pa.binary(), pa.string())
+                yield pa.record_batch([*(c.take(taken) for c in b.columns[: len(keep)]), *(pa.array(c, t) for c, t in zip(zip(*got, strict=True), types, strict=True))], schema.names)
 
     return df.select(*keep, column).mapInArrow(rows, schema)
 

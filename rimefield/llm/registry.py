@@ -26,4 +26,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_secret_scan": secrets.SQL, "op7_source_mix": mixing.SQL}
+    return {"op5_secret_scan": secrets.SQL, "op7_source_mix": mixing.SQL, "op9_decontaminate": decontaminate.SQL}

@@ -147,8 +147,8 @@ def grouped(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def deduplicate(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """One document of each group stays, that of the smallest id, once; rows without an id stay all."""
     names = docs.columns
-    groups = grouped(docs, bucket).where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti").select(*names)
+    groups = grouped(docs, bucket).where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(groups, docs["doc_id"] == groups["gone"], "left_anti").select(*(docs[c] for c in names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

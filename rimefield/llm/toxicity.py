@@ -1,7 +1,8 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text, normalised by length, with exception phrases.
 
-Folding maps each character to one: lower case, accents off, look-alikes of other scripts to Latin letters, digits and
-signs that stand for letters to those letters, i and l to one letter, all else to a blank. The lexicon holds whole
+Folding takes texts apart first (NFKD: accents and ligatures become letters and marks), drops marks and format
+characters such as zero-width spaces, and then maps each character to one: lower case, look-alikes of other scripts to
+Latin letters, digits and signs that stand for letters to those letters, i and l to one letter, all else to a blank. The lexicon holds whole
 words and word beginnings, weighted by their log odds in toxic against other labelled rows; exception phrases (a
 lexicon word with the word before or after it) are those that other rows hold and toxic ones hardly do. Weights of the matches, in all and
 per 100 words, go into a logistic function fitted on the same rows.
@@ -39,10 +40,14 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 
 class _Fold(dict):
     def __missing__(self, code: int) -> str:
-        c = unicodedata.normalize("NFKD", chr(code))[:1].lower()[:1]
-        c = LOOK_ALIKES.get(c, c)
-        c = SUBSTITUTES.get(c, c)
-        self[code] = c if c.isalpha() else " "
+        c = chr(code)
+        if unicodedata.category(c) in ("Mn", "Mc", "Me", "Cf"):
+            self[code] = ""
+        else:
+            c = c.lower()[:1]
+            c = LOOK_ALIKES.get(c, c)
+            c = SUBSTITUTES.get(c, c)
+            self[code] = c if c.isalpha() else " "
         return self[code]
 
 
@@ -51,7 +56,7 @@ FOLD = _Fold()
 
 def fold(text: str | None) -> str:
     """Folded words with one blank around each."""
-    return f" {' '.join((text or '').translate(FOLD).split())} "
+    return f" {' '.join(unicodedata.normalize('NFKD', text or '').translate(FOLD).split())} "
 
 
 @dataclass
@@ -179,21 +184,30 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return tuple(b)
 
 
-def apply(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
-    """keep, and _score for each row."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(lexicon)
-    extra = [] if "text" in keep else ["text"]
+def _scored(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
+    """row (a struct of keep) and score for each row."""
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def rows(batches):
         lexicon = sent.value
         automaton = lexicon.automaton()
         for b in batches:
             score = pa.array([lexicon.score(automaton, fold(t.as_py())) for t in b.column("text")], pa.float64())
-            yield pa.record_batch([*(b.column(c) for c in keep), score], [*keep, "_score"])
+            yield pa.record_batch([b.column("row"), score], ["row", "score"])
+
+    d = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
+    return d.mapInArrow(rows, d.select("row", F.lit(None).cast("double").alias("score")).schema)
+
+
+def apply(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
+    """keep, and _score for each row."""
+    return _scored(docs, lexicon, keep).select(*(F.col("row").getField(c).alias(c) for c in keep), F.col("score").alias("_score"))
+
 
-    d = docs.select(*keep, *extra)
-    return d.mapInArrow(rows, docs.select(*keep).schema.add("_score", "double"))
+def reject(docs: DataFrame, lexicon: Lexicon, limit: float = 0.5) -> DataFrame:
+    """The documents that score below the limit, with all their columns."""
+    d = _scored(docs, lexicon, docs.columns).where(F.col("score") < limit)
+    return d.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def train_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -203,5 +217,5 @@ def train_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = learn(*train_rows(spark, sf_dir))
-    d = apply(table(spark, sf_dir, "documents"), lexicon, ["doc_id", "text"])
+    d = apply(table(spark, sf_dir, "documents"), lexicon, ["doc_id"])
     return d.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))

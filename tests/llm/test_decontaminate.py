@@ -1,6 +1,11 @@
+import hashlib
+import os
 import random
 import re
 
+import duckdb
+import pytest
+
 from rimefield.llm import decontaminate as dc
 
 
@@ -40,11 +45,11 @@ def test_hits_equal_brute_force(spark):
         items, docs = cases(seed)
         b, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
         for most in (10**6, 200):  # one automaton, and several in turn
-            rows = dc.mark(d, b, ["doc_id"], max_words=most).collect()
+            rows = dc.mark(d, b, ["doc_id"], max_words=most).select("row.doc_id", "n", "spans", "items").collect()
             assert len(rows) == len(docs)
             for r in rows:
-                hits = sum(r._spans[1::2]) - sum(r._spans[0::2])
-                assert (r._n, hits, r._items) == by_hand(dict(docs)[r.doc_id], items), r
+                hits = sum(r.spans[1::2]) - sum(r.spans[0::2])
+                assert (r.n, hits, r[3]) == by_hand(dict(docs)[r.doc_id], items), r
 
 
 def test_decontaminate_cuts_and_drops(spark):
@@ -58,3 +63,39 @@ def test_decontaminate_cuts_and_drops(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.decontaminate(docs, none).count() == 4
     assert dc.mark(docs.where("false"), none, ["doc_id"]).count() == 0
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    items, docs = cases(3)
+    spark.createDataFrame(items + [(None, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    named = items
+    rows = dc.query(spark, str(tmp_path)).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        n, hits, found = by_hand(dict(docs)[r.doc_id], named)
+        assert (r.n_words, r.n_items, r.items_sha256) == (n, len(found), hashlib.sha256(",".join(found).encode()).hexdigest())
+        assert r.n_hit >= hits and r.contaminated == (r.n_hit > 0)
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(dc.SQL).df()
+    assert sorted(map(tuple, want.to_numpy())) == sorted(map(tuple, dc.query(spark, str(tmp_path)).select(*want.columns).toPandas().to_numpy()))
+
+
+def test_clashing_names_stay(spark):
+    names = ["row", "cut", "n", "spans", "items", "_text", "_n", "_spans", "_items"]
+    item = " ".join(f"item{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, "before " * 20 + item, *names), (None, None, *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = dc.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [tuple(r) for r in out] == [(1, "before " * 20, *names), (None, None, *names)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the given tables")
+def test_query_equals_sql(spark):
+    con, data = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
+    want = con.sql(dc.SQL).df()
+    assert want.contaminated.any()
+    assert sorted(map(tuple, want.to_numpy())) == sorted(map(tuple, dc.query(spark, data).select(*want.columns).toPandas().to_numpy()))

@@ -46,3 +46,12 @@ def test_mix_nulls_ties_and_empty(spark):
     assert out.count() == sum(r._copies for r in rows)
     assert mixing.mix(docs.where("false")).count() == 0
     assert mixing.plan(docs.withColumn("text", F.lit(None).cast("string"))).agg(F.sum("_copies")).first()[0] == 0
+
+
+def test_clashing_names_and_many_sources(spark, monkeypatch):
+    names = ["row", "_size", "_total", "_target", "_rate", "_copies", "_copy", "_source"]
+    docs = spark.createDataFrame([(i, "w " * 3, f"s{i % 40}", *names) for i in range(400)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    rows = sorted(map(tuple, mixing.mix(docs).collect()))
+    assert rows and all(r[3:] == tuple(names) for r in rows)
+    monkeypatch.setattr(mixing, "SENT", 3)  # the table of sources is joined, not sent
+    assert sorted(map(tuple, mixing.mix(docs).collect())) == rows

@@ -71,3 +71,26 @@ def test_groups_nulls_and_repeats(spark):
     assert simhash.grouped(docs).count() == len(data)
     assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect() if r.doc_id in (1, 2, 7)) == [1]
     assert simhash.grouped(docs.where("false")).count() == 0
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(25):
+        ws = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(0, 120))]
+        for _ in range(4):
+            texts.append(" ".join(ws))
+            if ws:
+                ws[rng.randrange(len(ws))] = "Z"
+    data = [(i * 7 % 101, t) for i, t in enumerate(texts)] + [(500, None), (501, "")]
+    spark.createDataFrame(data, "doc_id long, text string").withColumn("component_id", F.lit("x")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = simhash.query(spark, str(tmp_path)).collect()
+    fps = {i: by_hand(t) for i, t in data}
+    root = roots(sorted(set(fps.values())))
+    least = {}
+    for i, f in fps.items():
+        least[root[f]] = min(i, least.get(root[f], i))
+    assert sorted(map(tuple, rows)) == sorted((i, f"{f:016x}", least[root[f]]) for i, f in fps.items())
+    names = ["gone", "_gone", "node", "root", "fp"]
+    docs = spark.createDataFrame([(2, "a b", *names), (1, "a b", *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    assert [tuple(r) for r in simhash.deduplicate(docs).collect()] == [(1, "a b", *names)]

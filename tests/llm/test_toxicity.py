@@ -1,5 +1,7 @@
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rimefield.llm import toxicity as tx
@@ -11,6 +13,29 @@ def test_fold():
     assert tx.fold(None) == tx.fold("") == tx.fold(" \n")
 
 
+def test_fold_sees_through_marks_and_ligatures():
+    assert tx.fold("idio\u0301t id\u200biot \u00ad\ufeffidiot i\u0307diot") == " idiot idiot idiot idiot "
+    assert tx.fold("\ufb01lth \uff26ilth") == " fiith fiith "
+
+
+def test_scores_equal_brute_force(spark):
+    """Every place of every entry, tried one by one."""
+    docs, labels = make(900)
+    docs += [(5000, None), (5001, ""), (5002, "sn\u200bark hunting snark " * 4000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_text", F.lit("x"))
+    lexicon = tx.learn(d.select("doc_id", "text"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert lexicon.exceptions
+    for r in tx.apply(d, lexicon, ["doc_id", "_text"]).collect():
+        ws = tx.fold(dict(docs)[r.doc_id]).split()
+        total = 0.0
+        for i, w in enumerate(ws):
+            best = max((v for e, v in lexicon.entries.items() if (e[1:-1] == w if e.endswith(" ") else w.startswith(e[1:]))), default=0.0)
+            if best > 0 and not (i and f" {ws[i - 1]} {w} " in lexicon.exceptions) and not (i + 1 < len(ws) and f" {w} {ws[i + 1]} " in lexicon.exceptions):
+                total += best
+        z = lexicon.line[0] + lexicon.line[1] * math.log1p(total) + lexicon.line[2] * math.log1p(100 * total / max(1, len(ws)))
+        assert r._score == pytest.approx(1 / (1 + math.exp(-z))) and r._text == "x"
+
+
 def make(n=1500):
     rng = random.Random(6)
     clean = [f"{a}{b}" for a in ("ba", "ke", "mo", "ru") for b in ("n", "tor", "lim", "sav")]
