@@ -7,7 +7,6 @@ masked, and the sources are mixed to their target weights.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rimefield.llm import decontaminate, mixing, secrets, simhash, toxicity
 from rimefield.llm.common import materialize, table
@@ -15,8 +14,7 @@ from rimefield.llm.common import materialize, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents that score 0.5 or more go."""
-    lexicon = toxicity.learn(*toxicity.train_rows(spark, sf_dir))
-    return toxicity.apply(docs, lexicon, docs.columns).where(F.col("_score") < 0.5).drop("_score")
+    return toxicity.reject(docs, toxicity.learn(*toxicity.train_rows(spark, sf_dir)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +45,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: SQL can't express the learned lexicon; tests hold each stage against brute force instead.
+#: SQL can't express the learned lexicon; tests/llm/test_pipeline.py holds run() against brute force instead.
 ORACLE_SQL = None
 
 
