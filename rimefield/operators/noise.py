@@ -2,29 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import exact_percentiles
+
+
+def crossover_pairs(df: DataFrame, keys: list[str], ident: str, day: str, value: str, min_days: int = 1, max_days: int = 30, x: str | None = None, y: str | None = None, radius: float = 0.0) -> DataFrame:
+    """Unordered pairs within keys whose whole days are min_days to max_days apart and, where x and y are given, at most radius apart.
+
+    Equi-joins on buckets of max_days + 1 days (and of the radius): one side goes to the neighbouring buckets, so the
+    work grows with the pairs, not with the square of a key's history."""
+    axes = [("_gt", F.floor(F.col(day) / (max_days + 1)))] + ([("_gx", F.floor(F.col(x) / radius)), ("_gy", F.floor(F.col(y) / radius))] if x else [])
+    carry = {ident: "i", day: "d", value: "v"} | ({x: "x", y: "y"} if x else {})
+    d = df.select(*keys, *(F.col(c) for c in carry), *(e.alias(n) for n, e in axes))
+    a = d.select(*keys, *(n for n, _ in axes), *(F.col(c).alias(f"_a{n}") for c, n in carry.items()))
+    b = d
+    for n, _ in axes:
+        b = b.withColumn(n, F.explode(F.array(F.col(n) - 1, F.col(n), F.col(n) + 1)))
+    b = b.select(*keys, *(n for n, _ in axes), *(F.col(c).alias(f"_b{n}") for c, n in carry.items()))
+    j = a.join(b, [*keys, *(n for n, _ in axes)]).where((F.col("_ai") < F.col("_bi")) & F.abs(F.col("_ad") - F.col("_bd")).between(min_days, max_days))
+    if x:
+        j = j.where(F.sqrt(F.pow(F.col("_ax") - F.col("_bx"), F.lit(2.0)) + F.pow(F.col("_ay") - F.col("_by"), F.lit(2.0))) <= radius)
+    return j.select(F.col("_ai").alias("ia"), F.col("_bi").alias("ib"), F.abs(F.col("_av") - F.col("_bv")).alias("diff"), ((F.col("_av") + F.col("_bv")) / 2).alias("mean_rms"))
+
 
 def sigma68(pairs: DataFrame, x: str, diff: str, width: float, n_bins: int, min_n: int = 30) -> DataFrame:
     """68.27th percentile of |diff| in bins of x; the upper edge of the last bin belongs to none."""
-    b = pairs.withColumn("bin", F.floor(F.col(x) / width)).where(F.col("bin").between(0, n_bins - 1))
-    g = b.groupBy("bin").agg(F.percentile(F.abs(diff), F.lit(0.6827)).alias("sigma"), F.count("*").alias("n")).where(F.col("n") >= min_n)
+    b = pairs.select(F.floor(F.col(x) / width).alias("bin"), F.abs(diff).alias("_d")).where(F.col("bin").between(0, n_bins - 1))
+    g = exact_percentiles(b, ["bin"], "_d", [0.6827]).where(F.col("n") >= min_n).select("bin", F.col("q0").alias("sigma"), "n")
     return g.withColumn("center", (F.col("bin") + 0.5) * width)
 
 
-def fit_line(bins: DataFrame) -> DataFrame:
-    """sigma = m*center + c weighted by n with m, c >= 0, closed form: one row (m, c, rmse, n_bins)."""
+def fit_line(bins: DataFrame, zero_intercept: bool = False) -> DataFrame:
+    """sigma = m*center + c weighted by n with m, c >= 0 (c = 0 on demand), closed form: one row (m, c, rmse, n_bins, m_error, c_error).
+
+    Errors are those of the free parameters, from the inverse of the normal matrix scaled by the weighted residuals over
+    the degrees of freedom; null where none are left. With the intercept forced to zero its error is 0."""
     w, x, y = F.col("n").cast("double"), F.col("center"), F.col("sigma")
-    s = bins.agg(F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * y).alias("wy"), F.sum(w * x * x).alias("wxx"), F.sum(w * x * y).alias("wxy"),
+    s = bins.agg(F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * y).alias("wy"), F.sum(w * x * x).alias("wxx"), F.sum(w * x * y).alias("wxy"), F.sum(w * y * y).alias("wyy"),
                  F.count("*").alias("n_bins"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"), F.sum(y * y).alias("syy"))
-    m0 = F.try_divide(F.col("w") * F.col("wxy") - F.col("wx") * F.col("wy"), F.col("w") * F.col("wxx") - F.col("wx") * F.col("wx"))
-    s = s.withColumn("m0", m0).withColumn("c0", (F.col("wy") - F.col("m0") * F.col("wx")) / F.col("w"))
-    s = s.withColumn("m", F.when(F.col("m0") < 0, 0.0).when(F.col("c0") < 0, F.greatest(F.col("wxy") / F.col("wxx"), F.lit(0.0))).otherwise(F.col("m0")))
-    s = s.withColumn("c", F.when(F.col("m0") < 0, F.greatest(F.col("wy") / F.col("w"), F.lit(0.0))).when(F.col("c0") < 0, 0.0).otherwise(F.col("c0")))
+    through = F.greatest(F.try_divide("wxy", "wxx"), F.lit(0.0))
+    if zero_intercept:
+        s = s.withColumn("m", through).withColumn("c", F.lit(0.0))
+    else:
+        m0 = F.try_divide(F.col("w") * F.col("wxy") - F.col("wx") * F.col("wy"), F.col("w") * F.col("wxx") - F.col("wx") * F.col("wx"))
+        s = s.withColumn("m0", m0).withColumn("c0", (F.col("wy") - F.col("m0") * F.col("wx")) / F.col("w"))
+        s = s.withColumn("m", F.when(F.col("m0") < 0, 0.0).when(F.col("c0") < 0, through).otherwise(F.col("m0")))
+        s = s.withColumn("c", F.when(F.col("m0") < 0, F.greatest(F.col("wy") / F.col("w"), F.lit(0.0))).when(F.col("c0") < 0, 0.0).otherwise(F.col("c0")))
     m, c, n = F.col("m"), F.col("c"), F.col("n_bins")
     square = F.col("syy") + m * m * F.col("sxx") + n * c * c + 2 * m * c * F.col("sx") - 2 * m * F.col("sxy") - 2 * c * F.col("sy")
-    return s.select("m", "c", F.sqrt(F.greatest(square / n, F.lit(0.0))).alias("rmse"), "n_bins")
+    weighted = F.greatest(F.col("wyy") + m * m * F.col("wxx") + F.col("w") * c * c + 2 * m * c * F.col("wx") - 2 * m * F.col("wxy") - 2 * c * F.col("wy"), F.lit(0.0))
+    free = n - (1 if zero_intercept else 2)
+    scale = F.when(free > 0, weighted / free)
+    det = F.col("w") * F.col("wxx") - F.col("wx") * F.col("wx")
+    errors = (F.sqrt(F.try_divide(scale, F.col("wxx"))), F.lit(0.0)) if zero_intercept else (F.sqrt(F.try_divide(scale * F.col("w"), det)), F.sqrt(F.try_divide(scale * F.col("wxx"), det)))
+    return s.select("m", "c", F.sqrt(F.greatest(square / n, F.lit(0.0))).alias("rmse"), "n_bins", errors[0].alias("m_error"), errors[1].alias("c_error"))
+
+
+def fit_band(fit: DataFrame, x: Column) -> DataFrame:
+    """The fit's rows with the band of one standard error at x: low (never below 0) and high."""
+    m, c, dm, dc = (F.col(k) for k in ("m", "c", "m_error", "c_error"))
+    low = F.greatest((m - dm) * x + F.greatest(c - dc, F.lit(0.0)), F.lit(0.0))
+    return fit.withColumns({"x": x, "sigma": m * x + c, "low": low, "high": (m + dm) * x + (c + dc)})
 
 
 def mdc_table(fit: DataFrame, low: float, high: float, rows: int = 12) -> DataFrame:

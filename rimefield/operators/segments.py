@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .robust import mad_filter_asymmetric
+from .spatial import azimuth
 
 
 def adaptive_level(df: DataFrame, keys: list[str], x: str, level: str, min_span: float = 160.0, spacing: float = 0.7, max_gap: float = 7.0, levels=(4, 3, 2, 1)) -> DataFrame:
@@ -79,34 +79,93 @@ def variogram(df: DataFrame, keys: list[str], i: str, y: str, max_lag: int) -> D
     return a.join(b, [*keys, "_j"]).groupBy(*keys, "lag").agg((F.avg(F.pow(F.col("_a") - F.col("_b"), F.lit(2.0))) / 2).alias("gamma"), F.count("*").alias("n"))
 
 
+def semivariogram(df: DataFrame, keys: list[str], x: str, y: str, n_lags: int = 20, first: float = 0.1, min_n: int = 10) -> DataFrame:
+    """(keys, bin, lag, gamma, n, extent) from points: half the mean square difference of the pairs in n_lags equal bins of distance from
+    `first` to a third of the extent. Groups of under min_n points have none. Pairs come from an equi-join on buckets of a third of the extent."""
+    d = df.where(F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    w = Window.partitionBy(*keys)
+    d = d.withColumn("_n", F.count("*").over(w)).withColumn("_x0", F.min("_x").over(w)).withColumn("extent", F.max("_x").over(w) - F.col("_x0"))
+    d = d.withColumn("_reach", F.col("extent") / 3).where((F.col("_n") >= min_n) & (F.col("_reach") > first)).withColumn("_b", F.floor((F.col("_x") - F.col("_x0")) / F.col("_reach")))
+    a = d.select(*keys, "extent", "_reach", F.col("_x").alias("_xa"), F.col("_y").alias("_ya"), F.explode(F.array(F.col("_b"), F.col("_b") + 1)).alias("_b"))
+    j = a.join(d.select(*keys, "_b", F.col("_x").alias("_xb"), F.col("_y").alias("_yb")), [*keys, "_b"]).withColumn("_h", F.col("_xb") - F.col("_xa"))
+    width = (F.col("_reach") - first) / n_lags
+    j = j.where((F.col("_h") >= first) & (F.col("_h") < F.col("_reach"))).withColumn("bin", F.least(F.floor((F.col("_h") - first) / width), F.lit(n_lags - 1)).cast("int"))
+    g = j.groupBy(*keys, "bin").agg((F.avg(F.pow(F.col("_ya") - F.col("_yb"), F.lit(2.0))) / 2).alias("gamma"), F.count("*").alias("n"), F.first("extent").alias("extent"))
+    return g.withColumn("lag", first + (F.col("bin") + 0.5) * (F.col("extent") / 3 - first) / n_lags)
+
+
 def fit_gaussian(lag: np.ndarray, gamma: np.ndarray) -> tuple[float, float, float]:
-    """(nugget, variance, length) of nugget + var * (1 - exp(-pi/4 * (h / length)**2)): linear in the first two, so the length is searched."""
-    best = (np.inf, np.nan, np.nan, np.nan)
+    """(nugget, variance, length) of nugget + var * (1 - exp(-pi/4 * (h / length)**2)), nugget and variance not negative.
+
+    Linear in the first two, so only the length is searched: the least squares of all lengths of a grid are solved at once
+    in closed form, and the grid is drawn closer around the best one."""
+    n, sy = len(lag), gamma.sum()
     grid = np.geomspace(max(lag.min() / 4, 1e-9), lag.max() * 4, 60)
+    best = (np.inf, np.nan, np.nan, np.nan)
     for _ in range(4):
-        for length in grid:
-            f = 1 - np.exp(-np.pi / 4 * (lag / length) ** 2)
-            m = np.column_stack([np.ones_like(f), f])
-            c, *_ = np.linalg.lstsq(m, gamma, rcond=None)
-            c = np.maximum(c, 0)
-            err = float(((m @ c - gamma) ** 2).sum())
-            if err < best[0]:
-                best = (err, *c, length)
+        f = 1 - np.exp(-np.pi / 4 * (lag[None, :] / grid[:, None]) ** 2)
+        sf, sff, sfy = f.sum(1), (f * f).sum(1), f @ gamma
+        det = n * sff - sf * sf
+        with np.errstate(divide="ignore", invalid="ignore"):
+            var = np.where(det > 1e-12, (n * sfy - sf * sy) / det, 0.0)
+            nugget = (sy - var * sf) / n
+            through = np.where(sff > 0, np.maximum(sfy / sff, 0.0), 0.0)
+        var, nugget = np.where(nugget < 0, through, var), np.maximum(nugget, 0.0)
+        nugget, var = np.where(var < 0, max(sy / n, 0.0), nugget), np.maximum(var, 0.0)
+        err = ((nugget[:, None] + var[:, None] * f - gamma[None, :]) ** 2).sum(1)
+        k = int(np.argmin(err))
+        if err[k] < best[0]:
+            best = (err[k], nugget[k], var[k], grid[k])
         grid = np.linspace(best[3] * 0.85, best[3] * 1.15, 41)
-    return best[1], best[2], best[3]
-
-
-def variogram_fit(df: DataFrame, keys: list[str], extent: float | None = None) -> DataFrame:
-    """Gaussian model per key from (lag, gamma); plausible: 1 <= length <= half the greatest lag * 3."""
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        p = part.sort_values("lag")
-        head = p.iloc[:1][keys].reset_index(drop=True)
-        if len(p) < 3:
-            return head.assign(nugget=np.nan, variance=np.nan, length=np.nan, plausible=False)
-        n, v, length = fit_gaussian(p["lag"].to_numpy(float), p["gamma"].to_numpy(float))
-        return head.assign(nugget=n, variance=v, length=length, plausible=bool(1 <= length <= (extent or 3 * p["lag"].max()) / 2))
+    return float(best[1]), float(best[2]), float(best[3])
+
+
+def variogram_fit(df: DataFrame, keys: list[str], extent: str | None = None) -> DataFrame:
+    """Gaussian model per key from (lag, gamma); plausible: 1 <= length <= half the extent (a column; else three times the greatest lag),
+    in the unit of the lags. Keys of under 3 bins have none. A key's bins are one short list; many lists are fitted in a batch."""
+    size = F.col(extent) if extent else F.lit(None).cast("double")
+    g = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("lag").cast("double").alias("lag"), F.col("gamma").cast("double").alias("gamma")))).alias("_bins"), F.max(size).cast("double").alias("_extent"))
+
+    def fit(parts):
+        for p in parts:
+            rows = []
+            for bins, reach in zip(p["_bins"], p["_extent"], strict=True):
+                if len(bins) < 3:
+                    rows.append((np.nan, np.nan, np.nan, False))
+                    continue
+                lag, gamma = np.array([b["lag"] for b in bins]), np.array([b["gamma"] for b in bins])
+                n, v, length = fit_gaussian(lag, gamma)
+                rows.append((n, v, length, bool(1 <= length <= (reach if reach == reach and reach is not None else 3 * lag.max()) / 2)))
+            yield p[keys].assign(**{c: [r[i] for r in rows] for i, c in enumerate(("nugget", "variance", "length", "plausible"))})
 
     schema = df.select(*keys).schema
     for c in ("nugget", "variance", "length"):
         schema = schema.add(c, "double")
-    return df.groupBy(*keys).applyInPandas(fit, schema.add("plausible", "boolean"))
+    out = g.mapInPandas(fit, schema.add("plausible", "boolean"))
+    return out.select(*keys, *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("nugget", "variance", "length")), "plausible")
+
+
+def roughness(df: DataFrame, keys: list[str], x: str, y: str, level: str, time: str, lon: str, lat: str, min_photons: int = 200, min_span: float = 160.0, spacing: float = 0.7, max_gap: float = 7.0,
+              window: float = 10.0, bandwidth: float = 2.0, step: float = 0.5, min_n: int = 10, sub_n: int = 30) -> DataFrame:
+    """Photons to one roughness record per segment (the keys): confidence by density, moving filter, kernel surface, resampled lattice,
+    detrended RMS, sub-segment RMS, semivariogram range, first-to-last azimuth and centroid. Segments with under min_photons points, no
+    dense level, or under min_n points after a step have no record."""
+    w = Window.partitionBy(*keys)
+    d = df.withColumn("_all", F.count("*").over(w)).where(F.col("_all") >= min_photons).drop("_all")
+    dense = adaptive_level(d, keys, x, level, min_span, spacing, max_gap).select(*keys, F.col("level").alias("_level"), "cnf_used")
+    d = d.join(dense, keys)
+    # The centroid and the ends are those of all photons of the segment.
+    ends = d.groupBy(*keys).agg(F.min(time).alias("time"), F.avg(lat).alias("lat_centroid"), F.avg(lon).alias("lon_centroid"), F.first("cnf_used").alias("cnf_used"),
+                                F.min_by(F.struct(lon, lat), F.struct(time, x)).alias("_a"), F.max_by(F.struct(lon, lat), F.struct(time, x)).alias("_b"))
+    kept = moving_filter(d.where(F.col(level) >= F.col("_level")).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")), keys, "_x", "_y", window)
+    n = kept.groupBy(*keys).agg(F.count("*").alias("n_photons_filtered")).where(F.col("n_photons_filtered") >= min_n)
+    smooth = kernel_smooth(kept, keys, "_x", "_y", bandwidth).groupBy(*keys, "_x").agg(F.avg("smooth").alias("_s"))
+    s = resample(smooth, keys, "_x", "_s", step).withColumn("_x", F.col("i") * step)
+    fit = detrend_rms(s, keys, "_x", "y", min_n).select(*keys, F.col("n").alias("n_surface"), "slope", F.col("rms").alias("RMS"))
+    sub = subsegment_rms(s, keys, "_x", "y", 4, sub_n).select(*keys, "rms_sub_median", F.col("n_valid").alias("n_valid_subsegments"))
+    mean = s.groupBy(*keys).agg(F.avg("y").alias("mean_surface"), F.avg("_x").alias("_mx"))
+    flat = s.join(fit.select(*keys, "slope"), keys).join(mean, keys).select(*keys, "_x", (F.col("y") - F.col("mean_surface") - F.col("slope") * (F.col("_x") - F.col("_mx"))).alias("_y"))
+    reach = variogram_fit(semivariogram(flat, keys, "_x", "_y", min_n=min_n), keys, "extent").select(*keys, F.col("length").alias("semivariogram_range"), F.col("plausible").alias("semivariogram_valid"))
+    out = ends.join(n, keys).join(fit, keys).join(mean.drop("_mx"), keys).join(sub, keys, "left").join(reach, keys, "left")
+    out = out.withColumn("azimuth", azimuth(F.col("_a")[lon], F.col("_a")[lat], F.col("_b")[lon], F.col("_b")[lat]))
+    return out.withColumn("n_valid_subsegments", F.coalesce("n_valid_subsegments", F.lit(0))).drop("_a", "_b")

@@ -15,6 +15,7 @@ from rimefield.operators import noise as N
 from rimefield.operators import robust as R
 from rimefield.operators import segments as G
 from rimefield.operators import spatial as P
+from rimefield.operators.ranks import exact_percentiles
 from rimefield.sources.readers import table, undone
 
 QUERIES: dict = {}
@@ -186,9 +187,7 @@ PAIRS = "pr AS (SELECT abs(a.value - b.value) AS diff, (a.value + b.value) / 2 A
 
 def crossover(spark, d):
     e = table(spark, d, "events").select("user_id", "event_type", "event_id", F.unix_date(F.to_date("ts")).alias("day"), "value")
-    a, b = e.withColumnsRenamed({"event_id": "ia", "day": "da", "value": "va"}), e.withColumnsRenamed({"event_id": "ib", "day": "db", "value": "vb"})
-    j = a.join(b, ["user_id", "event_type"]).where((F.col("ia") < F.col("ib")) & F.abs(F.col("da") - F.col("db")).between(1, 30))
-    return j.select("ia", "ib", F.abs(F.col("va") - F.col("vb")).alias("diff"), ((F.col("va") + F.col("vb")) / 2).alias("mean_rms"))
+    return N.crossover_pairs(e, ["user_id", "event_type"], "event_id", "day", "value")
 
 
 @query("SELECT a.event_id AS ia, b.event_id AS ib, round(abs(a.value - b.value), 6) AS diff, round((a.value + b.value) / 2, 6) AS mean_rms FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_id < b.event_id AND abs(date_diff('day', a.ts::DATE, b.ts::DATE)) BETWEEN 1 AND 30")
@@ -226,8 +225,9 @@ def q_mdc_table(spark, d):
 @query(f"WITH {PAIRS} SELECT q::DOUBLE AS percentile, round(v, 6) AS value FROM (SELECT unnest([0.5, 0.75, 0.9, 0.95, 0.99, 1.0]) AS q, unnest(quantile_cont(mean_rms, [0.5, 0.75, 0.9, 0.95, 0.99, 1.0])) AS v FROM pr)")
 def q_percentile_profile(spark, d):
     qs = [0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
-    p = crossover(spark, d).agg(F.percentile("mean_rms", F.array(*map(F.lit, qs))).alias("v"))
-    return p.select(F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("percentile"), "v")).alias("r")).select(F.col("r.percentile").alias("percentile"), F.round("r.v", 6).alias("value"))
+    p = exact_percentiles(crossover(spark, d).select("mean_rms"), [], "mean_rms", qs)
+    rows = F.array(*(F.struct(F.lit(q).alias("percentile"), F.round(f"q{i}", 6).alias("value")) for i, q in enumerate(qs)))
+    return p.select(F.explode(rows).alias("r")).select("r.percentile", "r.value")
 
 
 @query(f"""WITH {PROFILE}, lv AS (SELECT seg, l AS lev, x, x - lag(x) OVER (PARTITION BY seg, l ORDER BY x) AS gap FROM p, unnest([4, 3, 2, 1]) t(l) WHERE cnf >= l),
@@ -279,7 +279,7 @@ def q_variogram_fit(spark, d):
     return G.variogram_fit(G.variogram(lattice(spark, d), ["seg"], "i", "y", 10), ["seg"])
 
 
-GRID = "gr AS (SELECT floor((p_retailprice - 900) / 40)::INT AS ix, floor(p_size / 2.0::DOUBLE)::INT AS iy, median(p_retailprice * p_size) AS v FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL)"
+GRID = "gr AS (SELECT floor((p_retailprice - 900) / 40)::INT AS ix, floor(p_size / 2.0::DOUBLE)::INT AS iy, median(p_retailprice * p_size) AS v FROM part GROUP BY ALL)"
 
 
 def grid(spark, d):
@@ -375,13 +375,13 @@ def q_monthly_z(spark, d):
 SELECT month(m)::INT AS month, round(avg(v), 4) AS climatology, round(avg(a), 4) AS p25, round(avg(b), 4) AS p75, count(*) AS n_years FROM mo GROUP BY ALL""")
 def q_climatology(spark, d):
     f = R.mad_filter(cell_obs(spark, d), ["cell"], "value", 3.0, 30)
-    m = f.groupBy(F.trunc("time", "month").alias("m")).agg(F.median("value").alias("v"), F.percentile("value", F.lit(0.25)).alias("a"), F.percentile("value", F.lit(0.75)).alias("b"))
+    m = exact_percentiles(f.select(F.trunc("time", "month").alias("m"), "value"), ["m"], "value", [0.5, 0.25, 0.75]).withColumnsRenamed({"q0": "v", "q1": "a", "q2": "b"})
     return rounded(m.groupBy(F.month("m").alias("month")).agg(F.avg("v").alias("climatology"), F.avg("a").alias("p25"), F.avg("b").alias("p75"), F.count("*").alias("n_years")), 4)
 
 
 @query(f"""WITH {OBS}, {CELLS}, cv AS (SELECT n_regionkey AS block, year(time)::INT AS year, cell, median(value) AS v FROM o JOIN c USING (node) JOIN nation ON n_nationkey = cell GROUP BY ALL),
 bl AS (SELECT year, block, row_number() OVER (PARTITION BY year ORDER BY block) - 1 AS slot, count(*) OVER (PARTITION BY year) AS nb FROM (SELECT DISTINCT year, block FROM cv)),
-dr AS (SELECT n.year, rep, k, ('0x' || substr(md5('42|' || rep || '|' || k), 1, 8))::BIGINT % n.nb AS slot FROM (SELECT DISTINCT year, nb FROM bl) n, range(100) a(rep), range(20) b(k) WHERE k < n.nb),
+dr AS (SELECT n.year, rep, k, ('0x' || substr(md5('42|' || rep || '|' || k), 1, 8))::BIGINT % n.nb AS slot FROM (SELECT DISTINCT year, nb FROM bl) n, range(500) a(rep), range(n.nb) b(k)),
 bm AS (SELECT dr.year, rep, median(v) AS m FROM dr JOIN bl ON bl.year = dr.year AND bl.slot = dr.slot JOIN cv ON cv.year = dr.year AND cv.block = bl.block GROUP BY ALL),
 ci AS (SELECT year, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm GROUP BY year)
 SELECT year, round(median(v), 4) AS median, round(CASE WHEN any_value(nb) < 3 THEN quantile_cont(v, 0.25) ELSE any_value(lo) END, 4) AS ci_low, round(CASE WHEN any_value(nb) < 3 THEN quantile_cont(v, 0.75) ELSE any_value(hi) END, 4) AS ci_high, any_value(nb) AS n_blocks
@@ -431,16 +431,12 @@ def q_anti_done(spark, d):
     return undone(table(spark, d, "customer"), done, "c_custkey").select("c_custkey")
 
 
-@query()
-def q_projection(spark, d):
-    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 2.0 - 95).alias("lon"), (F.lit(60.0) + F.col("p_retailprice") / 100).alias("lat"))
-    x, y = P.polar_stereographic(F.col("lon"), F.col("lat"))
-    return p.select("p_partkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), P.azimuth(F.col("lon"), F.col("lat"), F.col("lon") + 1, F.col("lat") + 0.5).alias("azimuth"))
-
-
 def queries():
     return dict(QUERIES)
 
 
 def oracle_sql():
     return dict(SQL)
+
+
+from rimefield.plans import studies  # noqa: E402, F401  registers its queries here
