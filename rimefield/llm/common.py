@@ -43,7 +43,7 @@ def materialize(df: DataFrame) -> DataFrame:
     folder, fs = _tables(spark)
     fs.deleteOnExit(folder)
     path = f"{folder.toString()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
