@@ -16,8 +16,10 @@ held-out trusted documents of that language, times a margin. A language with und
 documents, and with under 50 of those the held-out ones of all languages.
 
 Trusted rows are those with a label of quality 1. A fifth of them, by a hash of doc_id, is held out for the thresholds;
-the model is trained on at most about `fitted` = 200,000 others, by the same hash, and what is above that counts for
-the thresholds too. If none is held out at all, the training rows give the thresholds. Null and empty texts are one end mark;
+the model is trained on all others, whatever their number, so each trusted row counts for the model or the thresholds.
+A caller may bound the rows trained on (`fitted`); those left over then count for the thresholds. Ids of training rows
+are sent to all tasks while there are at most `sent` of them, else joined by a shuffle of the texts, without sorting
+them; both ways count the same. If none is held out at all, the training rows give the thresholds. Null and empty texts are one end mark;
 they are scored like others. Null languages are one language. Repeated rows get equal results; rows without an id are
 not trusted. Without trusted rows perplexities are null and all rows are kept. An empty table gives no rows.
 """
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-FITTED, HELD, QUANTILE, MARGIN, LEAST, BLOCK_BYTES, CHUNK, MOST = 200_000, 0.2, 0.999, 1.05, 50, 24 << 20, 1 << 21, 4_000_000
+HELD, QUANTILE, MARGIN, LEAST, BLOCK_BYTES, CHUNK, MOST, SENT = 0.2, 0.999, 1.05, 50, 24 << 20, 1 << 21, 4_000_000, 1_000_000
 START, END = 0xD800, 0xDC00
 
 
@@ -238,19 +240,20 @@ def _units(batches):
         yield pa.record_batch([b.column("doc_id"), b.column("lang"), n, pa.nulls(b.num_rows, pa.float64())], [c.split()[0] for c in SCORED.split(", ")])
 
 
-def trusted_rows(labels: DataFrame, fitted: int = FITTED, held: float = HELD) -> DataFrame:
-    """(doc_id, trains): rows of quality 1; those that the model learns from are at most about `fitted`."""
+def trusted_rows(labels: DataFrame, fitted: int | None = None, held: float = HELD) -> DataFrame:
+    """(doc_id, trains): rows of quality 1; the model learns from all but the share `held`, or, on demand, from about `fitted` at most."""
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    share = min(1.0 - held, fitted / max(1, good.count()))
+    share = 1.0 - held if fitted is None else min(1.0 - held, fitted / max(1, good.count()))
     return good.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).alias("trains"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, fitted: int = FITTED, held: float = HELD, most: int = MOST) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, fitted: int | None = None, held: float = HELD, most: int = MOST, sent: int = SENT) -> DataFrame:
     """doc_id, lang, n_units, perplexity, threshold, keep for each row of docs."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text"))
-    good = trusted_rows(labels, fitted, held)
-    # Bounded by `fitted`: one long for each row that the model learns from.
-    learned = F.broadcast(good.where("trains").select("doc_id"))
+    good = materialize(trusted_rows(labels, fitted, held))
+    learned = good.where("trains").select("doc_id")
+    # At most `sent` longs go through the driver.
+    learned = F.broadcast(learned) if learned.count() <= sent else learned.hint("shuffle_hash")
     counts = materialize(count_grams(d.join(learned, "doc_id", "left_semi")))
     if counts.isEmpty():
         return d.mapInArrow(_units, SCORED).select("*", F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
