@@ -5,7 +5,8 @@ that stands in it; a piece's weight starts from its rank in that vocabulary (1 /
 no unigram scores) and is re-estimated by expected counts over all distinct training words: once for all components,
 then once more for each. The first piece carries the word-start mark and a stop weight ends the word, so the piece
 paths of all words sum to one. One more edge spans a whole word that the training rows hold, weighted by its
-discounted count; what the discounts leave goes to the piece paths. A forward recursion in log space sums all paths.
+discounted count; what the discounts leave goes to the piece paths. A forward recursion sums all paths: in plain
+doubles for many words at once, in log space for long words and for those whose sums leave the range of the doubles.
 
 Parameters: counts c of words in the training rows, in all and per component (the languages that hold 1% of the
 training rows or more, at most 100 by that rule, and the rest, if any). With N tokens, V distinct ones, the discount
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import materialize, remainder, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-MARK, BLOCK_BYTES, LISTED, FLUSH, LONG, LEAST_SHARE, POOLED = "▁".encode(), 24 << 20, 1024, 1_000_000, 64, 0.01, 0.1
+MARK, BLOCK_BYTES, LISTED, FLUSH, LONG, LEAST_SHARE, POOLED, SCALE = "▁".encode(), 24 << 20, 1024, 1_000_000, 64, 0.01, 0.1, 10
 END = b""
 NEG = float("-inf")
 
@@ -65,74 +66,113 @@ def load_pieces(path: str = VOCABULARY) -> list[bytes]:
     return list(out)
 
 
-class Pieces:
-    """Numbers of the pieces' bodies, found by a rolling hash for all substrings of many words at once."""
+class Edges:
+    """Lattice edges of many words, which stand one after the other with a place between: where they start and end, and by the edge's start
+    in its word: the edge's places, piece number and word. bounds: where the edges of each start begin."""
+
+    def __init__(self, starts: np.ndarray, ends: np.ndarray, src: np.ndarray, dst: np.ndarray, ids: np.ndarray, word: np.ndarray, bounds: np.ndarray):
+        self.starts, self.ends, self.src, self.dst, self.ids, self.word, self.bounds = starts, ends, src, dst, ids, word, bounds
+
+    def of(self, words: np.ndarray) -> "Edges":
+        """The edges of some words alone (a mask); the places stay."""
+        keep = words[self.word]
+        return Edges(self.starts, self.ends, self.src[keep], self.dst[keep], self.ids[keep], self.word[keep], np.concatenate([[0], np.cumsum(keep)])[self.bounds])
+
+    def steps(self) -> list[slice]:
+        return [slice(x, y) for x, y in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True)]
+
+    def within(self, sums: np.ndarray) -> np.ndarray:
+        """Words whose sums are all so far from the ends of the doubles' range that nothing of weight was lost."""
+        return (np.minimum.reduceat(sums, self.starts) >= 1e-250) & (np.maximum.reduceat(sums, self.starts) <= 1e250)
 
-    BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+class Pieces:
+    """Numbers of the pieces' bodies, found for all substrings of many words at once by a trie: the child of a node by a code (byte + 1; 0 ends
+    a word) stands at the node's base + code, if its parent is that node."""
 
     def __init__(self, bodies: list[bytes]):
         self.bodies = bodies
-        self.longest = max(map(len, bodies))
-        self.powers = np.array([pow(int(self.BASE), i, 1 << 64) for i in range(self.longest + 1)], np.uint64)
-        self.hashes = np.array([self._hash(p) for p in bodies], np.uint64)
-        if len(np.unique(self.hashes)) < len(bodies):
-            raise ValueError("two pieces have one hash")
-        #: Slots by upper bits; pieces whose slot is taken go to a second table, under a multiplier that gives each its own slot.
-        self.first = np.full(1 << 22, -1, np.int32)
-        slot = self._other(self.hashes, self.MIX, 42).astype(np.int64)
-        self.first[slot[::-1]] = np.arange(len(bodies), dtype=np.int32)[::-1]
-        rest = np.flatnonzero(self.first[slot] != np.arange(len(bodies)))
-        turns = (np.uint64(0xBF58476D1CE4E5B9 * t % (1 << 64)) for t in range(1, 2001, 2))
-        self.turn = next(m for m in turns if len(np.unique(self._other(self.hashes[rest], m))) == len(rest))
-        self.second = np.full(1 << 20, -1, np.int32)
-        self.second[self._other(self.hashes[rest], self.turn)] = rest
-
-    @staticmethod
-    def _other(h: np.ndarray, turn: np.uint64, shift: int = 44) -> np.ndarray:
-        return ((h ^ (h >> np.uint64(32))) * turn) >> np.uint64(shift)
-
-    def _hash(self, body: bytes) -> np.uint64:
-        h = 0
-        for x in body:
-            h = (h * int(self.BASE) + x + 1) % (1 << 64)
-        return np.uint64(h)
-
-    def _look(self, h: np.ndarray) -> np.ndarray:
-        got = self.first[self._other(h, self.MIX, 42)]
-        got = np.where((got >= 0) & (self.hashes[got] == h), got, -1)
-        more = self.second[self._other(h, self.turn)]
-        if (more >= 0).any():
-            got = np.where((more >= 0) & (self.hashes[more] == h), more, got)
-        return got
+        self.sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+        children, number = [{}], [-1]
+        for n, body in enumerate(bodies):
+            at = 0
+            for x in body:
+                to = children[at].get(x + 1)
+                if to is None:
+                    to = children[at][x + 1] = len(children)
+                    children.append({})
+                    number.append(-1)
+                at = to
+            number[at] = n
+        # Nodes of many children are placed first, each where it fits first; those of one fill the gaps.
+        free, place, base = np.ones(3 * len(children) + 4096, bool), np.zeros(len(children), np.int64), np.zeros(len(children), np.int64)
+        free[:257], low = False, 257
+        order = sorted((i for i, c in enumerate(children) if c), key=lambda i: -len(children[i]))
+        many = [i for i in order if len(children[i]) > 1]
+        for i in many:
+            codes, lo, fits = np.fromiter(children[i], np.int64), low - 1024, []
+            while not len(fits):
+                lo += 1024
+                if lo + 2048 > len(free):
+                    free = np.append(free, np.ones(len(free), bool))
+                at = np.flatnonzero(free[lo : lo + 1024]) + lo - codes[0]
+                fits = at[free[at[:, None] + codes].all(1)]
+            base[i] = fits[0]
+            place[[*children[i].values()]] = fits[0] + codes
+            free[fits[0] + codes] = False
+            while not free[low : low + 64].any():
+                low += 64
+        one = order[len(many) :]
+        at = np.flatnonzero(free)[: len(one)]
+        for i, x in zip(one, at.tolist(), strict=True):
+            ((code, to),) = children[i].items()
+            base[i], place[to] = x - code, x
+        size = int(max(place.max(), base.max())) + 258
+        self.base, self.parent, self.number = (np.full(size, x, np.int64) for x in (0, -1, -1))
+        self.base[place], self.number[place] = base, number
+        for i in order:
+            self.parent[place[[*children[i].values()]]] = place[i]
+
+    def _found(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the words, then starts, ends and piece numbers of the edges, by the pieces' length."""
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        codes = np.frombuffer(b" ".join([*words, b""]), np.uint8).astype(np.int16) + np.int16(1)
+        codes[ends] = 0
+        at = np.flatnonzero(codes)
+        node, size, parts = np.zeros(len(at), np.int64), 0, []
+        while len(at) or not parts:
+            to = self.base[node] + codes[at + size]
+            ok = np.flatnonzero(self.parent[to] == node)
+            at, node, size = at[ok], to[ok], size + 1
+            ids = self.number[node]
+            has = np.flatnonzero(ids >= 0)
+            parts.append((at[has], at[has] + size, ids[has]))
+        return np.concatenate([[0], ends[:-1] + 1]), ends, *(np.concatenate(c) for c in zip(*parts, strict=True))
+
+    def walk(self, words: list[bytes]) -> Edges:
+        """Edges of words of 1 to 255 bytes."""
+        starts, ends, src, dst, ids = self._found(words)
+        sizes = ends - starts
+        word = np.repeat(np.arange(len(words)), sizes + 1)[src]
+        offset = (src - starts[word]).astype(np.uint8)
+        order = np.argsort(offset, kind="stable")
+        return Edges(starts, ends, src[order], dst[order], ids[order], word[order], np.concatenate([[0], np.cumsum(np.bincount(offset, minlength=int(sizes.max())))]))
 
     def find(self, words: list[bytes]) -> dict[tuple[int, int], np.ndarray]:
         """For words of one length: by start and end, each word's piece number or -1."""
-        n, size = len(words), len(words[0])
-        x = np.frombuffer(b"".join(words), np.uint8).reshape(n, size).T.astype(np.uint64) + np.uint64(1)
-        prefix = np.zeros((size + 1, n), np.uint64)
-        for i in range(size):
-            prefix[i + 1] = prefix[i] * self.BASE + x[i]
-        out = {}
-        for i in range(size):
-            for j in range(i + 1, min(size, i + self.longest) + 1):
-                got = self._look(prefix[j] - prefix[i] * self.powers[j - i])
-                if (got >= 0).any():
-                    out[i, j] = got
+        wide = len(words[0]) + 1
+        _, _, src, dst, ids = self._found(words)
+        word, key = src // wide, src % wide * wide + dst % wide
+        order, out = np.argsort(key, kind="stable"), {}
+        for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            if len(part):
+                got = out[divmod(int(key[part[0]]), wide)] = np.full(len(words), -1)
+                got[word[part]] = ids[part]
         return out
 
     def edges(self, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and piece numbers of one word's edges, by end."""
-        x, n = np.frombuffer(word, np.uint8).astype(np.uint64) + np.uint64(1), len(word)
-        inverse = np.uint64(pow(int(self.BASE), -1, 1 << 64))
-        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.BASE)]), dtype=np.uint64)
-        down = np.cumprod(np.full(n, inverse), dtype=np.uint64)
-        prefix = up * np.concatenate([[np.uint64(0)], np.cumsum(x * down, dtype=np.uint64)])
-        parts = []
-        for size in range(1, min(self.longest, n) + 1):
-            got = self._look(prefix[size:] - prefix[:-size] * self.powers[size])
-            at = np.flatnonzero(got >= 0)
-            parts.append((at, at + size, got[at]))
-        i, j, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
+        _, _, i, j, ids = self._found([word])
         order = np.argsort(j, kind="stable")
         return i[order], j[order], ids[order]
 
@@ -161,6 +201,7 @@ class Lattice:
             self.start = np.log(start / start.sum())
             total = inner.sum() + stop
             self.inner, self.stop = np.append(np.log(inner / total), NEG), math.log(stop / total)
+        self._plain: tuple[np.ndarray, np.ndarray] | None = None
 
     def forward(self, size: int, n: int, found: dict) -> np.ndarray:
         a = np.full((size + 1, n), NEG)
@@ -174,6 +215,58 @@ class Lattice:
     def log_probability(self, size: int, n: int, found: dict) -> np.ndarray:
         return self.forward(size, n, found)[-1] + self.stop
 
+    def plain(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of starts (the last: the mark alone) and of inner pieces, times 2 ** SCALE for each byte: so the sums of usual words stay near 1."""
+        if self._plain is None:
+            with np.errstate(over="ignore", invalid="ignore"):
+                by = np.exp2(SCALE * pieces.sizes.astype(float))
+                self._plain = np.append(np.exp(self.start[:-1]) * by, np.exp(self.start[-1])), np.exp(self.inner[:-1]) * by
+        return self._plain
+
+    def forward_many(self, e: Edges, start: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """The recursion without logarithms, for many words: sums by place."""
+        a = np.zeros(e.ends[-1] + 1)
+        a[e.starts] = start[-1]
+        weights, first = inner[e.ids], e.bounds[1]
+        a[e.dst[:first]] = start[e.ids[:first]]
+        for s in e.steps():
+            # Edges of one start in one word end apart.
+            a[e.dst[s]] += a[e.src[s]] * weights[s]
+        return a
+
+    def backward_many(self, e: Edges, inner: np.ndarray) -> np.ndarray:
+        b = np.zeros(e.ends[-1] + 1)
+        b[e.ends] = 1
+        weights = inner[e.ids]
+        for s in reversed(e.steps()):
+            np.add.at(b, e.src[s], weights[s] * b[e.dst[s]])
+        return b
+
+    def log_probability_many(self, pieces: Pieces, e: Edges) -> np.ndarray:
+        """NaN where the sums leave the range of the doubles."""
+        with np.errstate(all="ignore"):
+            a = self.forward_many(e, *self.plain(pieces))
+            return np.where(e.within(a), np.log(a[e.ends]) - SCALE * math.log(2) * (e.ends - e.starts) + self.stop, np.nan)
+
+    def expect_many(self, pieces: Pieces, e: Edges, member: np.ndarray, start: np.ndarray, inner: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """expect() for many words; a mask of those left out, since their sums leave the range of the doubles. member: booleans."""
+        with np.errstate(all="ignore"):
+            w_start, w_inner = self.plain(pieces)
+            a, b = self.forward_many(e, w_start, w_inner), self.backward_many(e, w_inner)
+            good, first = e.within(a) & e.within(b), e.bounds[1]
+            whole = 1 / a[e.ends]
+            use = a[e.src] * w_inner[e.ids] * b[e.dst] * whole[e.word]
+            begin = w_start[e.ids[:first]] * b[e.dst[:first]] * whole[e.word[:first]]
+            alone = w_start[-1] * b[e.starts] * whole
+        for k, m in enumerate(member & good):
+            stop[k] += m.sum()
+            start[k, -1] += alone[m].sum()
+            at = np.flatnonzero(m[e.word])
+            inner[k] += np.bincount(e.ids[at], use[at], inner.shape[1])
+            at = at[: np.searchsorted(at, first)]
+            start[k, :-1] += np.bincount(e.ids[at], begin[at], inner.shape[1])
+        return member.any(0) & ~good
+
     def forward_one(self, size: int, edges) -> list[float]:
         """The same recursion for one long word."""
         i, j, ids = edges
@@ -242,10 +335,24 @@ def from_ranks(pieces: list[bytes]) -> tuple[Pieces, Lattice]:
     return Pieces(bodies), Lattice(start, inner, 0.4 * inner.sum())
 
 
+def short(words: list[bytes], most: int = 1 << 15) -> Iterator[np.ndarray]:
+    """Places of words of 1 to LONG bytes, of about so many bytes at once."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    at = np.flatnonzero((sizes > 0) & (sizes <= LONG))
+    if len(at):
+        yield from np.split(at, np.flatnonzero(np.diff(np.cumsum(sizes[at]) // most)) + 1)
+
+
 def piece_paths(pieces: Pieces, lattices: list[Lattice], words: list[bytes]) -> np.ndarray:
     """Log probability of each word by the pieces of each lattice; the empty word has none."""
-    out = np.full((len(words), len(lattices)), NEG)
-    for part in by_length(words):
+    out = np.full((len(words), len(lattices)), np.nan)
+    for part in short(words):
+        e = pieces.walk([words[i] for i in part])
+        for k, l in enumerate(lattices):
+            out[part, k] = l.log_probability_many(pieces, e)
+    rest = np.flatnonzero(np.isnan(out).any(1))
+    for part in by_length([words[i] for i in rest]):
+        part = rest[part]
         own = [words[i] for i in part]
         size = len(own[0])
         if size > LONG:
@@ -255,6 +362,8 @@ def piece_paths(pieces: Pieces, lattices: list[Lattice], words: list[bytes]) ->
             found = pieces.find(own)
             for k, l in enumerate(lattices):
                 out[part, k] = l.log_probability(size, len(own), found)
+        else:
+            out[part] = NEG
     return out
 
 
@@ -371,16 +480,24 @@ def _expected(words: DataFrame, pieces: Pieces, lattices: list[Lattice], groups:
         for b in batches:
             got = b.column("word").to_pylist()
             member = np.stack([b.column(f"c{k + 1}").to_numpy() for k in range(groups)]) > 0
-            for part in by_length(got):
+            left = np.fromiter((len(w) > LONG for w in got), bool, len(got)) & member
+            for part in short(got):
+                e, m = pieces.walk([got[i] for i in part]), member[:, part]
+                if len(lattices) == 1:
+                    left[:, part] = m & lattices[0].expect_many(pieces, e, m, start, inner, stop)
+                else:
+                    for k in np.flatnonzero(m.any(1)):
+                        left[k, part] = lattices[k].expect_many(pieces, e.of(m[k]), m[k : k + 1], start[k : k + 1], inner[k : k + 1], stop[k : k + 1])
+            rest = np.flatnonzero(left.any(0))
+            for part in by_length([got[i] for i in rest]):
+                part = rest[part]
                 own = [got[i] for i in part]
-                if not own[0]:
-                    continue
                 found = pieces.edges(own[0]) if len(own[0]) > LONG else pieces.find(own)
                 if len(lattices) == 1:
-                    lattices[0].expect(len(own[0]), found, member[:, part].astype(float), start, inner, stop)
+                    lattices[0].expect(len(own[0]), found, left[:, part].astype(float), start, inner, stop)
                 else:
                     for k in range(groups):
-                        here = np.flatnonzero(member[k, part])
+                        here = np.flatnonzero(left[k, part])
                         if len(here):
                             few = found if isinstance(found, tuple) else {x: ids[here] for x, ids in found.items()}
                             lattices[k].expect(len(own[0]), few, np.ones((1, len(here))), start[k : k + 1], inner[k : k + 1], stop[k : k + 1])
